@@ -14,7 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch: texts of a few kB each make batches of a few MB, in the JVM and in Python.
+BATCH_ROWS = 1000
+# memory that a batch needed goes back to the system, not to a pool of the worker's
+pa.set_memory_pool(pa.system_memory_pool())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,6 +37,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Cuts lineage: writes df to the shared scratch folder and reads it back, so a lost executor costs no recomputation."""
     spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     path = f"{scratch_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import CHUNK_BYTES, materialise, mix, spread, table, text_chunks, words
+from .common import materialise, mix, spread, table, text_chunks, text_column, words
 from .components import connected_components, roots
 
 SHINGLE = 5
@@ -189,15 +189,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["cls", "shingles"])
 
 
-def similar(one: bytes, other: bytes) -> bool:
-    x, y = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Jaccard similarity of two sets of distinct shingles, in whole numbers."""
     both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
     return THRESHOLD[1] * both >= THRESHOLD[0] * (len(x) + len(y) - both)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ok = [similar(x, y) for x, y in zip(batch.column("one").to_pylist(), batch.column("other").to_pylist(), strict=True)]
+        (x, i), (y, j) = text_column(batch.column("one")), text_column(batch.column("other"))
+        ok = [similar(x[i[k] : i[k + 1]].view(np.uint64), y[j[k] : j[k + 1]].view(np.uint64)) for k in range(batch.num_rows)]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
 
 
