@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import topk
 from .minhash import op10_minhash_near_dedup
+from .mixing import op4_mix_sources
+from .packing import op7_pack_sequences
 from .rabitq import op1_embedding_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op2_exact_top_k": topk.op2_exact_top_k,
+    "op4_mix_sources": op4_mix_sources,
+    "op7_pack_sequences": op7_pack_sequences,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_exact_top_k": topk.SQL,
+}
