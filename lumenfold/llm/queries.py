@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import topk
+from . import chat, licenses, topk
 from .minhash import op10_minhash_near_dedup
 from .mixing import op4_mix_sources
 from .packing import op7_pack_sequences
@@ -17,9 +17,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_top_k": topk.op2_exact_top_k,
     "op4_mix_sources": op4_mix_sources,
     "op7_pack_sequences": op7_pack_sequences,
+    "op3_license_scan": licenses.op3_license_scan,
+    "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 SQL: dict[str, str] = {
     "op2_exact_top_k": topk.SQL,
+    "op3_license_scan": licenses.SQL,
+    "op9_chat_formatting": chat.SQL,
 }
