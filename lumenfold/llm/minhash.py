@@ -9,8 +9,10 @@ words the whole sequence is the one shingle; without words the set is empty and
 3. Classes that share a band key meet in a task. Bit counts of the packed signatures give the collision-corrected
    similarity (match - 1/4) / (3/4); where it is at least the threshold less four standard errors, the pair is a
    candidate. A task emits a spanning forest of its candidates, not all pairs.
-4. Each candidate is confirmed on the full shingle sets. Where a tree of a forest has an edge that isn't confirmed, the
-   candidates between the parts that remain are confirmed in turn, more of them each round, until none is left.
+4. Each candidate is confirmed on the full shingle sets. Trees of a forest with an edge that isn't confirmed are joined to
+   groups; in a group, rows of different parts are all compared on full sets, as bit rows over the shingles that
+   several of them hold. Groups above GROUP_BLOCK rows are dealt out as pairs of blocks. Only links that join parts are
+   returned, so rows stay in proportion to the input.
 5. Components over the confirmed links.
 
 At similarity 0.85 a pair shares no band with probability (1 - 0.85**5)**25 < 1e-6.
@@ -31,6 +33,8 @@ from .components import connected_components, roots
 SHINGLE = 5
 THRESHOLD = (85, 100)
 BANDS, ROWS, PERMS, BITS = 25, 5, 128, 2
+#: Rows of an open group that one task takes.
+GROUP_BLOCK = 4096
 #: Four standard errors of the estimate at the threshold.
 MARGIN = 4 * float(np.sqrt((p := 0.85 + 0.15 / 4) * (1 - p) / 0.75**2 / PERMS))
 
@@ -208,25 +212,57 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialise(pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(_confirm, "a binary, b binary, linked boolean"))
 
 
-def _open_pairs(batches: Iterator[pa.RecordBatch], best: int) -> Iterator[pa.RecordBatch]:
-    """Of each tree with an edge that wasn't confirmed: the candidates between its parts that were not tried, the best of each member and part."""
-    floor = THRESHOLD[0] / THRESHOLD[1] - MARGIN
-    for t in _groups(batches, "group"):
-        cls, part, sig = t["cls"].to_pylist(), np.asarray(t["part"].combine_chunks().dictionary_encode().indices), _as_words(t["sig"])
-        tried = [set(x or ()) for x in t["tried"].to_pylist()]
-        out = set()
+def _exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each cell: links that join its parts, found by comparing every row outside the largest part with all rows of other parts, on full sets."""
+    for t in _groups(batches, "cell"):
+        cls = t["cls"].to_pylist()
+        part = np.unique(np.array([x.hex() for x in t["part"].to_pylist()]), return_inverse=True)[1]
+        block = np.asarray(t["block"])
+        cross = len(np.unique(block)) > 1
+        data, offsets = text_column(t["shingles"])
+        size = np.diff(offsets) // 8
+        _, name, count = np.unique(data[offsets[0] : offsets[-1]].view(np.uint64), return_inverse=True, return_counts=True)
+        # what only one row holds is in no intersection
+        column = np.cumsum(count > 1) - 1
+        row = np.repeat(np.arange(len(cls)), size)
+        common = count[name] > 1
+        row, column = row[common], column[name[common]]
+        width = (int(column.max()) // 64 + 1) if len(column) else 1
+        bits = np.zeros((len(cls), width), dtype=np.uint64)
+        np.bitwise_or.at(bits, (row, column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
         names, counts = np.unique(part, return_counts=True)
+        out = []
         for i in np.flatnonzero(part != names[counts.argmax()]).tolist():
-            e = estimate(sig[i], sig)
-            near = np.flatnonzero((part != part[i]) & (e >= floor))
-            near = near[np.argsort(-e[near], kind="stable")]
-            seen: dict[int, int] = {}
-            for j in near.tolist():
-                if seen.get(part[j], 0) < best and cls[j] not in tried[i] and cls[i] not in tried[j]:
-                    seen[part[j]] = seen.get(part[j], 0) + 1
-                    out.add(tuple(sorted((cls[i], cls[j]))))
+            other = np.flatnonzero((part != part[i]) & (block != block[i]) if cross else part != part[i])
+            both = np.zeros(len(other), dtype=np.int64)
+            for k in range(0, len(other), 4096):
+                both[k : k + 4096] = np.bitwise_count(bits[i] & bits[other[k : k + 4096]]).sum(axis=1, dtype=np.int64)
+            near = other[THRESHOLD[1] * both >= THRESHOLD[0] * (size[i] + size[other] - both)]
+            if len(near):
+                _, first = np.unique(part[near], return_index=True)
+                out += [tuple(sorted((cls[i], cls[j]))) for j in near[first].tolist()]
+                part[np.isin(part, part[near[first]])] = part[i]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*sorted(out), strict=True)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["a", "b"])
+
+
+def _links_of_open_groups(edges: DataFrame, checked: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Links inside trees with an edge that wasn't confirmed; None where there is no such tree."""
+    bad = edges.join(checked.where("not linked"), ["a", "b"]).select("key", "tree").distinct()
+    bad = materialise(edges.join(bad, ["key", "tree"]).select("a", "b").distinct())
+    if bad.isEmpty():
+        return None
+    group = connected_components(bad).select(F.col("node").alias("cls"), F.col("root").alias("group"))
+    part = connected_components(checked.where("linked").select("a", "b")).select(F.col("node").alias("cls"), F.col("root").alias("part"))
+    member = materialise(group.join(part, "cls", "left").select("cls", "group", F.coalesce("part", "cls").alias("part")))
+    # a group that is one part has nothing left to find
+    open_ = member.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y")
+    open_ = open_.select("group", F.ceil(F.col("n") / GROUP_BLOCK).cast("int").alias("blocks"))
+    placed = member.join(open_, "group").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other")).alias("cell")
+    cells = placed.select(cell, "cls", "part", "block").join(sets, "cls")
+    return materialise(cells.repartition(spread(edges.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(_exact_links, "a binary, b binary"))
 
 
 def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -244,24 +280,9 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi")
     sets = materialise(texts.mapInArrow(_sets, "cls binary, shingles binary").join(wanted, "cls", "left_semi").dropDuplicates(["cls"]))
     checked = _verified(pairs, sets)
-    best = 8
-    while True:
-        failed = checked.where("not linked")
-        bad = edges.join(failed, ["a", "b"]).select("key", "tree").distinct()
-        member = edges.join(bad, ["key", "tree"]).select(F.xxhash64("key", "tree").alias("group"), F.explode(F.array("a", "b")).alias("cls")).distinct()
-        member = materialise(member)
-        if member.isEmpty():
-            break
-        part = connected_components(checked.where("linked"))
-        tried = failed.select(F.col("a").alias("cls"), F.col("b").alias("with")).groupBy("cls").agg(F.collect_set("with").alias("tried"))
-        known = member.join(reps.select("cls", "sig"), "cls").join(part.withColumnRenamed("node", "cls"), "cls", "left").join(tried, "cls", "left").select("group", "cls", "sig", F.coalesce("root", "cls").alias("part"), "tried")
-        more = known.repartition(spread(spark), "group").sortWithinPartitions("group").mapInArrow(lambda x, n=best: _open_pairs(x, n), "a binary, b binary").distinct()
-        more = materialise(more)
-        if more.isEmpty():
-            break
-        checked = checked.unionByName(_verified(more, sets))
-        best *= 4
-    return rows, checked.where("linked").select("a", "b")
+    links = checked.where("linked").select("a", "b")
+    more = _links_of_open_groups(edges, checked, sets)
+    return rows, links if more is None else links.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
