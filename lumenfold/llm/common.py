@@ -112,12 +112,17 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray, low: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """starts, ends and 64-bit hashes of the words [^\\x20\\x09-\\x0D]+ (A-Z lower-cased); bounds: the first word of each text."""
+#: Of runs of letters: a-z (A-Z lower-cased) and all bytes of other scripts.
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
+
+
+def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = NONSPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """starts, ends and 64-bit hashes of the words (runs of bytes of a kind, A-Z lower-cased); bounds: the first word of each text."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = NONSPACE[data]
+    inside = kind[data]
     before = np.zeros(n, dtype=bool)
     before[1:] = inside[:-1]
     before[offsets[:-1][offsets[:-1] < n]] = False
@@ -125,6 +130,6 @@ def words(data: np.ndarray, offsets: np.ndarray, low: np.ndarray | None = None)
     after[:-1] = inside[1:]
     after[offsets[1:][offsets[1:] > 0] - 1] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    h = prefix_hash(LOWER[data] if low is None else low)
+    h = prefix_hash(LOWER[data])
     hashes = mix((h[ends] - h[starts]) * powers(n + 1)[1][starts])
     return starts, ends, hashes, np.searchsorted(starts, offsets)
