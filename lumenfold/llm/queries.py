@@ -12,6 +12,7 @@ from .mixing import op4_mix_sources
 from .packing import op7_pack_sequences
 from .quality import op6_quality_classifier
 from .rabitq import op1_embedding_near_dedup
+from .substrings import op5_suffix_array_dedup
 from .toxicity import op8_toxicity_classifier
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pack_sequences": op7_pack_sequences,
     "op3_license_scan": licenses.op3_license_scan,
     "op9_chat_formatting": chat.op9_chat_formatting,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_toxicity_classifier": op8_toxicity_classifier,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
