@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import materialise, table
+from .common import materialise, spread, table
 
 REPEATS = 3
 RANGES_BITS = 12
@@ -48,9 +48,10 @@ def targets(sizes: DataFrame, repeats: int = REPEATS) -> DataFrame:
 
 
 def mix(docs: DataFrame, carry: tuple[str, ...] = (), repeats: int = REPEATS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, and the columns to carry: one row per row of docs(doc_id, source, text).
+    """doc_id, size, source_size, target, taken, copies, finish, lap, and the columns to carry: one row per row of docs(doc_id, source, text).
 
-    copies: how often the mix takes the document (0 to repeats); taken: size times copies. A null text has size 0; a null
+    copies: how often the mix takes the document (0 to repeats); taken: size times copies; finish: virtual finish time of
+    its first pass, lap: what each further pass adds. A null text has size 0; a null
     source is a source of its own, the last; a source without words has target 0, and its documents pass once. Ties in
     the shuffle (rows with one id) are ordered by size. An empty table gives no rows. Other columns are ignored.
     """
@@ -90,7 +91,17 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), repeats: int = REPEATS) ->
     cut = edge.where("before_slot + sum > budget").agg(F.min(F.struct("time", "key", "doc_id")).alias("cut"))
     copies = sum((F.when(begins(F.lit(e)) & (F.col("cut").isNull() | (F.struct(finish(F.lit(e)).alias("time"), F.col("key"), F.col("doc_id")) < F.col("cut"))), 1).otherwise(0) for e in range(repeats)), F.lit(0))
     placed = placed.crossJoin(F.broadcast(cut)).withColumn("copies", copies.cast("long"))
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *[F.col(f"carry_{c}").alias(c) if c != "doc_id" else F.col("doc_id") for c in carry if c != "doc_id"])
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", finish(F.lit(0)).alias("finish"), F.when(F.col("target") > 0, F.col("source_size") / F.col("target")).otherwise(1.0).alias("lap"), *[F.col(f"carry_{c}").alias(c) if c != "doc_id" else F.col("doc_id") for c in carry if c != "doc_id"])
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix itself: the columns of docs, a row for each time that a document is taken, in the order of virtual finish times."""
+    others = tuple(c for c in docs.columns if c != "doc_id")
+    taken = mix(docs, others).where("copies > 0").select(*docs.columns, F.col("copies").alias("mix_copies"), F.col("finish").alias("mix_finish"), F.col("lap").alias("mix_lap"))
+    taken = materialise(taken)
+    items = taken.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), (F.col("mix_copies") - 1).cast("int"))))
+    items = items.withColumn("mix_time", F.col("mix_finish") + F.col("mix_pass") * F.col("mix_lap"))
+    return items.repartitionByRange(spread(docs.sparkSession), "mix_time", "doc_id").sortWithinPartitions("mix_time", "doc_id").select(*docs.columns)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
