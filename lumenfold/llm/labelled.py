@@ -30,7 +30,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SAMP
     each = [known.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(per_class) for y in (0, 1)]
     # at most 2 * per_class ids
     chosen = F.broadcast(each[0].unionByName(each[1]))
-    return docs.join(chosen, docs["doc_id"] == chosen["id"]).select("text", F.col("y").cast("int").alias("y"), F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(100)).cast("int").alias("part"))
+    texts = docs.select("doc_id", "text")
+    return texts.join(chosen, texts["doc_id"] == chosen["id"]).select("text", F.col("y").cast("int").alias("y"), F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(100)).cast("int").alias("part"))
 
 
 def _featured(batches: Iterator[pa.RecordBatch], features: Features) -> Iterator[pa.RecordBatch]:
@@ -41,19 +42,38 @@ def _featured(batches: Iterator[pa.RecordBatch], features: Features) -> Iterator
 
 
 class Rows:
-    """Sparse indicator rows."""
+    """Sparse indicator rows; products go through blocks of them, so temporaries stay small."""
+
+    BLOCK = 1 << 20
 
     def __init__(self, rows: list[np.ndarray]):
         self.rows = rows
-        self.size = np.array([len(r) for r in rows], dtype=np.int64)
-        self.index = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-        self.row = np.repeat(np.arange(len(rows)), self.size)
+        ends = np.cumsum([len(r) for r in rows])
+        cuts = np.searchsorted(ends, np.arange(0, (ends[-1] if len(ends) else 0) + self.BLOCK, self.BLOCK), "right")
+        self.blocks = [(lo, hi) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if hi > lo]
+        if rows and (not self.blocks or self.blocks[-1][1] < len(rows)):
+            self.blocks.append((self.blocks[-1][1] if self.blocks else 0, len(rows)))
+        #: Small tables are taken apart once.
+        self.held = list(self._made()) if len(self.blocks) <= 2 else None
+
+    def _parts(self):
+        return self._made() if self.held is None else self.held
+
+    def _made(self):
+        for lo, hi in self.blocks:
+            yield lo, hi, np.concatenate(self.rows[lo:hi]).astype(np.int64), np.repeat(np.arange(hi - lo), [len(r) for r in self.rows[lo:hi]])
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=w[self.index], minlength=len(self.rows))
+        out = np.zeros(len(self.rows))
+        for lo, hi, index, row in self._parts():
+            out[lo:hi] = np.bincount(row, weights=w[index], minlength=hi - lo)
+        return out
 
     def back(self, g: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
-        return np.bincount(self.index, weights=g[self.row], minlength=dimensions)
+        out = np.zeros(dimensions)
+        for lo, hi, index, row in self._parts():
+            out += np.bincount(index, weights=g[lo:hi][row], minlength=dimensions)
+        return out
 
 
 def fit_in_one_task(examples: DataFrame, features: Features, fit: Callable[[list, np.ndarray, np.ndarray], object]) -> object:
@@ -62,7 +82,8 @@ def fit_in_one_task(examples: DataFrame, features: Features, fit: Callable[[list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(x, y, p) for b in batches for x, y, p in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), b.column("part").to_pylist(), strict=True)]
         held.sort()
-        model = fit([np.frombuffer(x, np.int32) for x, _, _ in held], np.array([y for _, y, _ in held]), np.array([p for _, _, p in held]))
+        rows = [np.frombuffer(x, np.int32) for x, _, _ in held]
+        model = fit(rows, np.array([y for _, y, _ in held]), np.array([p for _, _, p in held]))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     made = examples.mapInArrow(lambda b: _featured(b, features), "y int, part int, x binary").repartition(1).mapInArrow(run, "model binary").collect()

@@ -8,6 +8,8 @@ Sentences of a document are swapped together, as labels are of documents.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -94,8 +96,7 @@ def evidence(x: Rows, y: np.ndarray) -> np.ndarray:
 def fit(rows: list[np.ndarray], y: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, float]:
     """(weights, bias) by accelerated gradient descent."""
     del part
-    rows = [r.astype(np.int64) for r in rows]
-    distinct = list({r.tobytes(): i for i, r in enumerate(rows)}.values())  # copies say nothing new
+    distinct = list({hashlib.blake2b(r.tobytes(), digest_size=16).digest(): i for i, r in enumerate(rows)}.values())  # copies say nothing new
     rows, y = [rows[i] for i in distinct], y[distinct]
     if len(set(y.tolist())) < 2:
         return np.zeros(DIMENSIONS), float(np.log(((y == 1).sum() + 1) / ((y == 0).sum() + 1)))
