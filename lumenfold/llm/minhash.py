@@ -304,12 +304,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component (the one with the smallest doc_id); rows without an id and without a known copy stay."""
-    found = near_duplicates(docs)
-    count = found.where("kept").groupBy("doc_id").count()
-    once = docs.join(count.where("count = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(count.where("count > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again).unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(docs.columns)
+    """docs with one row of each component, the one with the smallest doc_id; a row without id counts as after all others.
+
+    Of repeated rows (same id and text) one stays.
+    """
+    nameless = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
+    docs = docs.withColumn("keep_one_id", F.coalesce(F.col("doc_id").cast("long"), nameless))
+    found = near_duplicates(docs.select(F.col("keep_one_id").alias("doc_id"), "text"))
+    count = found.where("kept").groupBy(F.col("doc_id").alias("keep_one_id")).count()
+    once = docs.join(count.where("count = 1").select("keep_one_id"), "keep_one_id", "left_semi")
+    again = docs.join(count.where("count > 1").select("keep_one_id"), "keep_one_id", "left_semi").dropDuplicates(["keep_one_id", "text"])
+    return once.unionByName(again).drop("keep_one_id")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

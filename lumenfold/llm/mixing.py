@@ -96,12 +96,15 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), repeats: int = REPEATS) ->
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: the columns of docs, a row for each time that a document is taken, in the order of virtual finish times."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    taken = mix(docs, others).where("copies > 0").select(*docs.columns, F.col("copies").alias("mix_copies"), F.col("finish").alias("mix_finish"), F.col("lap").alias("mix_lap"))
+    # under names that none of mix's own columns has
+    held = {c: f"mixed_{i}" for i, c in enumerate(docs.columns)}
+    named = docs.select("doc_id", "source", "text", *[F.col(c).alias(n) for c, n in held.items()])
+    taken = mix(named, tuple(held.values())).where("copies > 0").select("doc_id", "copies", "finish", "lap", *held.values())
     taken = materialise(taken)
-    items = taken.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), (F.col("mix_copies") - 1).cast("int"))))
-    items = items.withColumn("mix_time", F.col("mix_finish") + F.col("mix_pass") * F.col("mix_lap"))
-    return items.repartitionByRange(spread(docs.sparkSession), "mix_time", "doc_id").sortWithinPartitions("mix_time", "doc_id").select(*docs.columns)
+    items = taken.withColumn("pass", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
+    items = items.withColumn("time", F.col("finish") + F.col("pass") * F.col("lap"))
+    items = items.repartitionByRange(spread(docs.sparkSession), "time", "doc_id").sortWithinPartitions("time", "doc_id")
+    return items.select(*[F.col(n).alias(c) for c, n in held.items()])
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
