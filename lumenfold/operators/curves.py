@@ -59,6 +59,10 @@ def rates(counts: DataFrame) -> DataFrame:
 def by_score(df: DataFrame, by: tuple[str, ...] = (), label: str = "label", score: str = "score") -> DataFrame:
     """Positives and negatives of each distinct score (0 to 1), with those at higher scores: above_pos, above_neg."""
     counts = df.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.col(label)).cast("long").alias("pos"), F.sum(1 - F.col(label)).cast("long").alias("neg"))
+    return _with_above(counts, by)
+
+
+def _with_above(counts: DataFrame, by: tuple[str, ...]) -> DataFrame:
     counts = counts.withColumn("range", F.least(F.floor(F.col("score") * RANGES), F.lit(RANGES - 1)).cast("int"))
     sums = counts.groupBy(*by, "range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     before = Window.partitionBy(*by).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
@@ -68,9 +72,18 @@ def by_score(df: DataFrame, by: tuple[str, ...] = (), label: str = "label", scor
     return counts.join(sums, [*by, "range"]).select(*by, "score", "pos", "neg", (F.col("bp") + F.col("wp")).alias("above_pos"), (F.col("bn") + F.col("wn")).alias("above_neg"))
 
 
+def by_score_weighted(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """rank_metrics of rows (score, label, w) that stand for w rows each."""
+    counts = df.groupBy(*by, "score").agg(F.sum(F.when(F.col("label") == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") == 0, F.col("w")).otherwise(0)).alias("neg"))
+    return _rank_metrics(_with_above(counts, by), by)
+
+
 def rank_metrics(df: DataFrame, by: tuple[str, ...] = (), label: str = "label", score: str = "score") -> DataFrame:
     """roc_auc and average_precision; equal scores count half, precision steps over distinct scores. Null without both classes."""
-    s = by_score(df, by, label, score)
+    return _rank_metrics(by_score(df, by, label, score), by)
+
+
+def _rank_metrics(s: DataFrame, by: tuple[str, ...]) -> DataFrame:
     pos, neg = F.sum("pos").cast("double"), F.sum("neg").cast("double")
     won = F.sum(F.col("neg").cast("double") * (F.col("above_pos") + F.col("pos") / F.lit(2.0)))
     tp = F.col("above_pos") + F.col("pos")

@@ -853,3 +853,129 @@ def _(spark, d):
 def _(spark, d):
     g = scores(spark, d).groupBy("user_id").agg(F.max("label").alias("stratum"), F.count(F.lit(1)).alias("n"))
     return g.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n").alias("n_rows"))
+
+
+# ---- tokens, uncertainty, explanations, models -----------------------------------------------------
+
+_TOKENS = {"n_div": "div", "n_href": "href", "n_p": "p", "n_script": "script"}
+
+
+@query("html_tokens", "SELECT page_id, " + ", ".join(f"CAST(len(regexp_extract_all(' ' || regexp_replace(regexp_replace(html, '[^A-Za-z0-9_]', '  ', 'g'), '^|$', ' ', 'g'), ' {t} ')) AS BIGINT) AS {n}" for n, t in _TOKENS.items()) + " FROM pages")
+def _(spark, d):
+    from ..functions.extract import token_count
+
+    return table(spark, d, "pages").select("page_id", *[token_count(F.col("html"), t).alias(n) for n, t in _TOKENS.items()])
+
+
+@query("document_structure")
+def _(spark, d):
+    from ..functions.extract import extract
+
+    return extract(table(spark, d, "pages").withColumn("content", F.col("html").cast("binary")), "page_id")
+
+
+@query("bootstrap_ci")
+def _(spark, d):
+    from ..operators.uncertainty import confusion_interval
+
+    return confusion_interval(scores(spark, d), "user_id", 0.5, 200)
+
+
+@query("ranking_ci")
+def _(spark, d):
+    from ..operators.uncertainty import ranking_interval
+
+    return ranking_interval(scores(spark, d), "user_id", 100)
+
+
+@query("paired_difference")
+def _(spark, d):
+    from ..operators.uncertainty import paired_difference
+
+    s = scores(spark, d)
+    return paired_difference(s, s.withColumn("score", F.col("score") * F.col("score")), "user_id", 0.25, 200)
+
+
+_EXPLAINED = ("l_quantity", "l_discount", "l_tax")
+
+
+def _scorer():
+    from ..operators.explain import logistic
+
+    return logistic({"l_quantity": 0.05, "l_discount": 8.0, "l_tax": -3.0}, -1.0)
+
+
+_SCORE = "1 / (1 + exp(-(-1.0 + {q} * 0.05 + {d} * 8.0 + {t} * -3.0)))"
+
+
+@query("local_attribution", "WITH M AS (SELECT quantile_cont(l_quantity, 0.5) AS q, quantile_cont(l_discount, 0.5) AS d, quantile_cont(l_tax, 0.5) AS t FROM lineitem), X AS (SELECT l_orderkey, " + _SCORE.format(q="l_quantity", d="l_discount", t="l_tax") + " - " + _SCORE.format(q="M.q", d="l_discount", t="l_tax") + " AS a, " + _SCORE.format(q="l_quantity", d="l_discount", t="l_tax") + " - " + _SCORE.format(q="l_quantity", d="M.d", t="l_tax") + " AS b, " + _SCORE.format(q="l_quantity", d="l_discount", t="l_tax") + " - " + _SCORE.format(q="l_quantity", d="l_discount", t="M.t") + " AS c FROM lineitem, M) SELECT 'l_quantity' AS feature, round(avg(abs(a)), 8) AS importance FROM X UNION ALL SELECT 'l_discount', round(avg(abs(b)), 8) FROM X UNION ALL SELECT 'l_tax', round(avg(abs(c)), 8) FROM X")
+def _(spark, d):
+    from ..operators.explain import attributions
+
+    a = attributions(table(spark, d, "lineitem"), _scorer(), _EXPLAINED, "l_orderkey")
+    return a.groupBy("feature").agg(F.round(F.avg(F.abs("attribution")), 8).alias("importance"))
+
+
+@query("accumulated_effects")
+def _(spark, d):
+    from ..operators.explain import effects
+
+    return effects(table(spark, d, "lineitem"), _scorer(), "l_quantity", _EXPLAINED)
+
+
+@query("interaction_strength")
+def _(spark, d):
+    from ..operators.explain import interactions
+
+    return interactions(table(spark, d, "lineitem"), _scorer(), (("l_quantity", "l_discount"), ("l_discount", "l_tax")), _EXPLAINED)
+
+
+@query("faithfulness")
+def _(spark, d):
+    from ..operators.explain import faithfulness
+
+    return faithfulness(table(spark, d, "lineitem"), _scorer(), {"l_quantity": 3.0, "l_discount": 2.0, "l_tax": 1.0}, _EXPLAINED, 1)
+
+
+@query("permutation_importance")
+def _(spark, d):
+    from ..operators.explain import permutation_importance
+
+    x = table(spark, d, "lineitem").withColumn("label", (F.col("l_returnflag") == "R").cast("int")).withColumn("k", F.xxhash64(*FIRST, "l_orderkey", "l_linenumber"))
+    return permutation_importance(x, _scorer(), _EXPLAINED, "k")
+
+
+@query("lr_scores")
+def _(spark, d):
+    from ..operators import models
+
+    t = telemetry(spark, d)
+    m = models.fit(models.prepared(t, NUMBERS), NUMBERS, models.candidates(4)["logistic_1.0"])
+    return models.scored(m, models.prepared(t, NUMBERS)).select("sample_id", "score")
+
+
+@query("platt_isotonic")
+def _(spark, d):
+    from ..operators import models
+
+    s = scores(spark, d).select("event_id", "label", "score")
+    out = None
+    for name, df in models.calibrators(s).items():
+        part = curves.calibration(df).select(F.lit(name).alias("calibrator"), "ece", "brier")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("family_ablation")
+def _(spark, d):
+    from ..operators import models
+
+    t = telemetry(spark, d).withColumn("k", F.xxhash64("sample_id", *FIRST))
+    return models.ablation(t, {"amount": ("l_quantity", "l_extendedprice"), "rate": ("l_discount", "l_tax")}, "k")
+
+
+@query("role_split", None)
+def _(spark, d):
+    from ..operators import models
+
+    return models.role_split(scores(spark, d), "event_id", "label").groupBy("label", "role").agg(F.count(F.lit(1)).alias("n_rows"))
