@@ -57,18 +57,20 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), repeats: int = REPEATS) ->
     """
     key = F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id"), 1)
     base = docs.select("doc_id", "source", words(F.col("text")).alias("size"), key.alias("key"), *[F.col(c).alias(f"carry_{c}") for c in carry])
-    base = base.withColumn("range", F.shiftright("key", 63 - RANGES_BITS))
-    rows = materialise(base.select("doc_id", "source", "size", "key", "range"))
-    parts = materialise(rows.groupBy("source", "range").agg(F.sum("size").alias("sum")))
-    share = materialise(targets(parts.groupBy("source").agg(F.sum("sum").alias("source_size"))))
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.withColumn("before", F.coalesce(F.sum("sum").over(before), F.lit(0))).withColumnRenamed("source", "s").withColumnRenamed("range", "r").drop("sum")
-    offsets = materialise(offsets.join(share, F.col("s").eqNullSafe(F.col("source"))).drop("source"))
+    # a name for each source that is never null, so that windows and joins deal rows out alike
+    name = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    base = base.withColumn("range", F.shiftright("key", 63 - RANGES_BITS)).withColumn("name", name)
+    rows = materialise(base.select("doc_id", "source", "name", "size", "key", "range"))
+    parts = materialise(rows.groupBy("source", "name", "range").agg(F.sum("size").alias("sum")))
+    share = materialise(targets(parts.groupBy("source").agg(F.sum("sum").alias("source_size"))).withColumn("name", name))
+    before = Window.partitionBy("name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("name", "range", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"))
+    offsets = materialise(offsets.join(share.drop("source"), "name"))
     if carry:
         rows = base
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("upto", F.sum("size").over(within))
-    placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).drop("s", "r", "range")
+    within = Window.partitionBy("name", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    # offsets grow with sources; merged, they need no broadcast, and the rows lie by name and range already
+    placed = rows.withColumn("upto", F.sum("size").over(within)).join(offsets.hint("merge"), ["name", "range"]).drop("name", "range")
     placed = placed.withColumn("upto", F.col("upto") + F.col("before")).drop("before")
     if not carry:
         placed = materialise(placed)
