@@ -157,3 +157,48 @@ def breakdown(df: DataFrame, key: str, features: tuple[str, ...], top: int | Non
         return long
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.abs("value")), "feature"))
     return long.where("value <> 0").withColumn("rank", rank).where(F.col("rank") <= top)
+
+
+def rank_stability(runs: DataFrame, run: str = "run", feature: str = "feature", value: str = "importance") -> DataFrame:
+    """left, right, correlation: Spearman of the importances of each pair of runs, 0 where it isn't defined."""
+    w = Window.partitionBy(run)
+    n = F.count(F.lit(1)).over(Window.partitionBy(run, value))
+    r = runs.select(run, feature, (F.rank().over(w.orderBy(value)) + (n - 1) / F.lit(2.0)).alias("r"))
+    a = r.select(F.col(run).alias("left"), feature, F.col("r").alias("x"))
+    b = r.select(F.col(run).alias("right"), feature, F.col("r").alias("y"))
+    both = a.join(b, feature).where("left < right")
+    c = F.corr("x", "y")
+    return both.groupBy("left", "right").agg(F.when(c.isNull() | F.isnan(c), 0.0).otherwise(c).alias("correlation"))
+
+
+def natural_reference(df: DataFrame, key: str, label: str, size: int, seed: str) -> DataFrame:
+    """size rows at the classes' own shares (half-even, one at least), each class in hash order."""
+    return stratified(df, key, (label,), size, seed)
+
+
+def compare(results: DataFrame, metrics: tuple[str, ...], by: str) -> DataFrame:
+    """Models with rounded metrics, the best by one of them first."""
+    return results.select("model", *[F.round(m, 4).alias(m) for m in metrics]).orderBy(F.desc(by), "model")
+
+
+def whitelist(df: DataFrame, allowed: tuple[str, ...], name: str = "evidence") -> DataFrame:
+    """One JSON text of allowed columns a row; another column is an error."""
+    if extra := sorted(set(df.columns) - set(allowed)):
+        raise ValueError(f"not allowed as evidence: {extra}")
+    return df.select(F.to_json(F.struct(*sorted(df.columns))).alias(name))
+
+
+def evenly_spaced(df: DataFrame, order: str, cap: int) -> DataFrame:
+    """At most cap rows at even distances in the order of a unique column."""
+    from .order import before
+
+    n = df.agg(F.count(F.lit(1)).alias("n__"))
+    placed = before(df, order, {"c__": F.count(F.lit(1))}).crossJoin(F.broadcast(n))
+    step = F.greatest(F.lit(1.0), F.col("n__") / F.lit(float(cap)))
+    keep = placed.where(F.floor(F.col("c___before") / step) != F.floor((F.col("c___before") - 1) / step)).select(order)
+    return df.join(keep, order, "left_semi")
+
+
+def parity(batch: DataFrame, single: DataFrame) -> DataFrame:
+    """only_batch, only_single: rows that one way of computing gives and the other doesn't."""
+    return batch.exceptAll(single).agg(F.count(F.lit(1)).alias("only_batch")).crossJoin(single.exceptAll(batch).agg(F.count(F.lit(1)).alias("only_single")))

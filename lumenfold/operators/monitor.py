@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .curves import confusion, rates
+from .order import before
 
 MIN_ROWS = 100
 
@@ -15,15 +16,11 @@ def quantile_label(rank: Column, n: Column, q: int) -> Column:
 
 
 def quantile_labels(df: DataFrame, column: str, order: tuple[str, ...], q: int, name: str) -> DataFrame:
-    """df with name: the quantile of column's rank, ties by order.
-
-    Ranks come in two levels: rows before a range of values, and within it; ranges are the distinct values themselves, so
-    only the table of distinct values is ordered as a whole.
-    """
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("c__")).withColumn("b__", F.sum("c__").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)) - F.col("c__"))
-    total = df.agg(F.count(F.lit(1)).alias("n__"))
-    rank = F.row_number().over(Window.partitionBy(column).orderBy(*order)) + F.col("b__")
-    return df.join(counts, column).crossJoin(F.broadcast(total)).withColumn(name, quantile_label(rank, F.col("n__"), q)).drop("c__", "b__", "n__")
+    """df with name: the quantile of column's rank, ties by order; rows where it is null are left out."""
+    counts = before(df, column, {"c__": F.count(F.lit(1))})
+    total = df.where(F.col(column).isNotNull()).agg(F.count(F.lit(1)).alias("n__"))
+    rank = F.row_number().over(Window.partitionBy(column).orderBy(*order)) + F.col("c___before")
+    return df.join(counts, column).crossJoin(F.broadcast(total)).withColumn(name, quantile_label(rank, F.col("n__"), q)).drop("c__", "c___before", "n__")
 
 
 def right_closed(c: Column, edges: tuple[float, ...], labels: tuple[str, ...]) -> Column:
@@ -66,13 +63,11 @@ def drift(df: DataFrame, is_reference: Column, features: tuple[str, ...], bins:
 
 
 def midranks(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """df with r_<column>: average rank of each value, from the table of distinct values."""
+    """df with r_<column>: average rank of each value; rows with a null are left out."""
     out = df
     for c in columns:
-        n = df.groupBy(c).agg(F.count(F.lit(1)).alias("n__"))
-        upto = F.sum("n__").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        n = n.select(c, (upto - (F.col("n__") - 1) / 2).cast("double").alias(f"r_{c}"))
-        out = out.join(n, c)
+        n = before(df, c, {"n__": F.count(F.lit(1))})
+        out = out.join(n.select(c, (F.col("n___before") + (F.col("n__") + 1) / F.lit(2.0)).alias(f"r_{c}")), c)
     return out
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .order import before
+
 FRACTIONS = (0.8, 0.1, 0.1)
 ROLES = (("threshold", 0.40), ("calibration", 0.65), ("policy", 1.0))
 
@@ -40,9 +42,9 @@ def groups(df: DataFrame, group: str = "group_id", time: str = "first_seen_at")
 
 
 def cohorts(per_group: DataFrame) -> DataFrame:
-    """seen, n_rows, n_groups, upto: groups by first time; the running total is over cohorts, one row a time, not over rows."""
-    c = per_group.groupBy("seen").agg(F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_groups"))
-    return c.withColumn("upto", F.sum("n_rows").over(Window.orderBy("seen").rowsBetween(Window.unboundedPreceding, 0)))
+    """seen, n_rows, n_groups, upto: groups by first time, with the running total of their rows."""
+    c = before(per_group, "seen", {"n_rows": F.sum("n_rows"), "n_groups": F.count(F.lit(1))})
+    return c.select("seen", "n_rows", "n_groups", (F.col("n_rows_before") + F.col("n_rows")).alias("upto"))
 
 
 def nearest(target: Column) -> Column:

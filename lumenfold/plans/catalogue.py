@@ -979,3 +979,49 @@ def _(spark, d):
     from ..operators import models
 
     return models.role_split(scores(spark, d), "event_id", "label").groupBy("label", "role").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+_RUNS = "I AS (SELECT event_type AS run, user_id AS feature, round(avg(value), 6) AS importance FROM events GROUP BY 1, 2), R AS (SELECT run, feature, rank() OVER (PARTITION BY run ORDER BY importance) + (count(*) OVER (PARTITION BY run, importance) - 1) / 2.0::DOUBLE AS r FROM I)"
+
+
+@query("rank_stability", f"WITH {_RUNS} SELECT a.run AS left, b.run AS right, round(corr(a.r, b.r), 8) AS correlation FROM R a JOIN R b USING (feature) WHERE a.run < b.run GROUP BY 1, 2")
+def _(spark, d):
+    runs = table(spark, d, "events").groupBy(F.col("event_type").alias("run"), F.col("user_id").alias("feature")).agg(F.round(F.avg("value"), 6).alias("importance"))
+    return rounded(evidence.rank_stability(runs), ("correlation",), 8)
+
+
+@query("natural_reference", f"""WITH {SCORES_SQL}, X AS (SELECT *, sha256(concat('n:', event_id)) AS digest, count(*) OVER (PARTITION BY label) AS k, count(*) OVER () AS n FROM S),
+Y AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY digest, event_id) AS rn, greatest(1, round_even(k * 500.0::DOUBLE / n, 0)) AS quota FROM X)
+SELECT event_id, label FROM Y ORDER BY CASE WHEN rn <= quota THEN 0 ELSE 1 END, digest, event_id LIMIT 500""")
+def _(spark, d):
+    return evidence.natural_reference(scores(spark, d).select("event_id", "label"), "event_id", "label", 500, "n")
+
+
+@query("model_comparison", f"WITH {SCORES_SQL}, C AS (SELECT event_type AS model, count(*) FILTER (score >= 0.5) AS alerts, count(*) AS n, avg(score) AS mean FROM S GROUP BY 1) SELECT model, round(alerts / n::DOUBLE, 4) AS alert_rate, round(mean, 4) AS mean FROM C")
+def _(spark, d):
+    c = scores(spark, d).groupBy(F.col("event_type").alias("model")).agg(F.avg((F.col("score") >= 0.5).cast("double")).alias("alert_rate"), F.avg("score").alias("mean"))
+    return evidence.compare(c, ("alert_rate", "mean"), "mean")
+
+
+@query("seed_stability", f"WITH {SCORES_SQL} SELECT CAST(user_id % 5 AS INTEGER) AS seed, {_CONFUSION} FROM S GROUP BY 1")
+def _(spark, d):
+    return curves.confusion(scores(spark, d).withColumn("seed", (F.col("user_id") % 5).cast("int")), 0.5, ("seed",))
+
+
+@query("evidence_projection", "SELECT concat('{\"event_id\":', event_id, ',\"event_type\":\"', event_type, '\"}') AS evidence FROM events")
+def _(spark, d):
+    return evidence.whitelist(table(spark, d, "events").select("event_type", "event_id"), ("event_id", "event_type"))
+
+
+@query("evenly_spaced_rows", """WITH X AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS b, greatest(1.0::DOUBLE, count(*) OVER () / 1000.0::DOUBLE) AS step FROM events)
+SELECT event_id FROM X WHERE floor(b / step) <> floor((b - 1) / step)""")
+def _(spark, d):
+    return evidence.evenly_spaced(table(spark, d, "events").select("event_id"), "event_id", 1000)
+
+
+@query("parity_audit", "SELECT 0::BIGINT AS only_batch, 0::BIGINT AS only_single")
+def _(spark, d):
+    f = features(spark, d)
+    batch = engineered.engineer(f, ("sample_id",), ("density",))
+    halves = engineered.engineer(f.where("Class = 1"), ("sample_id",), ("density",)).unionByName(engineered.engineer(f.where("Class <> 1"), ("sample_id",), ("density",)))
+    return evidence.parity(batch, halves)
