@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import materialise, mix, powers, prefix_hash, spread, table, text_chunks, text_column
 from .suffixes import common_prefixes, suffix_array
@@ -256,7 +256,9 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = F.concat(F.slice("firsts", 2, F.greatest(F.size("firsts") - 1, F.lit(0))), F.array(F.col("n_bytes") - LENGTH + 1))
     each = once.select("cls", F.explode(F.arrays_zip("anchors", "firsts", ends.alias("lasts"))).alias("x"))
     each = each.select(F.col("x.anchors").alias("anchor"), "cls", F.col("x.firsts").cast("int").alias("first"), F.col("x.lasts").cast("int").alias("last"))
-    counted = each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where("n > 1")
+    # counts are summed before the shuffle, and the join can be split where an anchor has many occurrences; a window can't
+    counts = materialise(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    counted = each.join(counts.hint("merge"), "anchor")
     spots = materialise(counted.groupBy("cls").agg(F.collect_list(F.struct("anchor", "first", "last", "n")).alias("spots")))
     texts = docs.mapInArrow(_texts, "cls binary, text binary").dropDuplicates(["cls"])
     pieces = materialise(texts.join(spots, "cls").select("cls", "text", "spots").mapInArrow(_pieces, _PIECE).withColumn("name", F.unhex(F.md5("piece"))))
