@@ -192,9 +192,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
     part = connected_components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     named = materialise(classes.select("cls", "size", "low").join(part.withColumnRenamed("node", "cls"), "cls", "left").join(links, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "low", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n")))
     named = named.join(named.groupBy("root").agg(F.min("low").alias("component")), "root").select("cls", "n", "component")
-    out = rows.select("vec_id", "cls").join(named, "cls", "left")
-    known = F.when(F.col("cls").isNull(), F.col("vec_id")).otherwise(F.col("component"))
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), known.alias("component_id"), F.coalesce(F.col("vec_id") == known, F.lit(False)).alias("kept"))
+    # unusable rows, however many, don't meet in the join
+    unusable = rows.where("cls is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = usable.select("vec_id", "cls").join(named, "cls").select("vec_id", F.col("n").cast("long").alias("n_links"), F.col("component").alias("component_id"))
+    return out.unionByName(unusable).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
