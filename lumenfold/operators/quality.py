@@ -96,8 +96,12 @@ def opaque_id(c: Column | str) -> Column:
 
 
 def quarantine(df: DataFrame, columns: tuple[str, ...], ids: tuple[str, ...] = ("sample_id", "group_id"), name: str = "reason") -> DataFrame:
-    """Rejected rows: canonical columns only, ids hashed, with their reasons."""
-    return df.where(F.col(name) != "").select(*[opaque_id(c).alias(c) if c in ids else F.col(c) for c in columns], name)
+    """Rejected rows: canonical columns only, ids hashed, with their reasons.
+
+    Rows are dropped by exploding the reason, so its long expression is evaluated once, not in a filter and a projection.
+    """
+    reason = F.explode(F.filter(F.array(name), lambda x: x != "")).alias(name)
+    return df.select(*[opaque_id(c).alias(c) if c in ids else F.col(c) for c in columns], reason)
 
 
 def canonical_types(df: DataFrame) -> DataFrame:
