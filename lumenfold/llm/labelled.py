@@ -23,10 +23,23 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SAMPLE) -> DataFrame:
-    """(text, y, part): up to per_class labelled documents of each class, none of fold 0. Ids with two labels or none are left out."""
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(id, y) of all labels that may be learned from: none of fold 0, none of ids with two labels."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold(F.col("doc_id")) != 0))
-    known = known.groupBy(F.col("doc_id").alias("id")).agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z").drop("z")
+    return known.groupBy(F.col("doc_id").alias("id")).agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z").drop("z")
+
+
+def prior_shift(labels: DataFrame, label: str, per_class: int = SAMPLE) -> float:
+    """What the logarithm of the odds of label 1 among all labels differs by from that of the sample."""
+    n = {r["y"]: r["n"] for r in known_labels(labels, label).groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(n) < 2:
+        return 0.0
+    return float(np.log(n[1] / n[0]) - np.log(min(n[1], per_class) / min(n[0], per_class)))
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SAMPLE) -> DataFrame:
+    """(text, y, part): up to per_class labelled documents of each class."""
+    known = known_labels(labels, label)
     each = [known.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(per_class) for y in (0, 1)]
     # at most 2 * per_class ids
     chosen = F.broadcast(each[0].unionByName(each[1]))

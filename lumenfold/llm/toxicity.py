@@ -14,11 +14,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import LETTERS, LOWER, mix, powers, prefix_hash, table, words
-from .labelled import DIMENSIONS, Rows, fit_in_one_task, fold, kept, sample, scored, sigmoid
+from .labelled import DIMENSIONS, Rows, fit_in_one_task, fold, kept, prior_shift, sample, scored, sigmoid
 
 CUT = 0.5
 #: Weight of the counterfactual penalty and of the squared weights; steps of the optimiser.
-PENALTY, RIDGE, STEPS = 5.0, 2e-4, 1500
+PENALTY, RIDGE, STEPS = 5.0, 5e-6, 2500
 #: Value of the likelihood ratio's root below which a feature is not used; bytes of the word beginnings that are features.
 LEAST_Z = 3.0
 BEGINNINGS = (4, 5, 6)
@@ -131,6 +131,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, part: np.ndarray) -> tuple[np.nda
 def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic"):
     """A function of (bytes, offsets) that scores texts: the estimated probability that a text is toxic."""
     w, bias = fit_in_one_task(sample(docs, labels, label), features, fit)
+    bias += prior_shift(labels, label)
     w = w.astype(np.float32)
     return lambda data, offsets: sigmoid(np.array([float(w[r].sum()) + bias for r in features(data, offsets)]))
 
