@@ -34,15 +34,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cuts lineage: writes df to the shared scratch folder and reads it back, so a lost executor costs no recomputation."""
+def materialise(df: DataFrame, release: bool = False) -> DataFrame:
+    """Cuts lineage: writes df to the shared scratch folder and reads it back, so a lost executor costs no recomputation.
+
+    release: has the driver collect its garbage, upon which Spark removes the shuffle files of what is written; after large
+    shuffles, so that they don't lie on disk beside those that follow.
+    """
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     path = f"{scratch_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes all tables that materialise has written; results that still read them must have been stored before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/tables")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(spark: SparkSession) -> int:
     """Partitions for a shuffle by key."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

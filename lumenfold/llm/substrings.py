@@ -8,7 +8,7 @@ Texts are UTF-8 bytes. Two equal strings must meet in one task, wherever their d
 2. Pieces. The windows of an occurrence of a repeated anchor make a piece of text, with the bytes that its last window
    needs. Each window of the corpus lies in one piece at most, and equal windows lie in pieces of one anchor. Anchors with
    more than HOT occurrences are split by the place of the anchor in the window and the bytes that all windows of that place
-   share. Equal pieces of an anchor are folded into one with a count; a count above one makes all its windows repeats.
+   share, above HOTTER by single windows. Equal pieces of an anchor are folded into one with a count; a count above one makes all its windows repeats.
 3. Shards. The distinct pieces of whole anchors fill shards of about SHARD bytes. A shard's suffix array is induced, the
    permuted common prefixes computed, and a window is a repeat where it shares LENGTH bytes with a neighbour in the order.
 4. Runs of repeated windows go back to the documents by class (digest of the text); texts that occur twice as a whole are
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import materialise, mix, powers, prefix_hash, spread, table, text_chunks, text_column
 from .suffixes import common_prefixes, suffix_array
@@ -33,8 +33,9 @@ LENGTH = 200
 KMER = 32
 SHARD = 1 << 20
 HOT = 4096
-#: Places of a hot anchor in a window that are kept together.
-PLACES = 16
+#: Places of a hot anchor in a window that are kept together; above HOTTER occurrences each window is a piece of its own,
+#: so that all pieces of a key are equal and fold into one: no key gathers more than HOTTER pieces in a task.
+PLACES, HOTTER = 16, 1 << 16
 #: Windows that one vectorised step looks at.
 STEP = 1 << 22
 _LOW = np.uint64((1 << 24) - 1)
@@ -96,7 +97,7 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(cls, pa.binary()),
                     pa.array(np.diff(offsets)),
                     pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found)),
-                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(first)),
+                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(first, pa.int32())),
                 ],
                 ["doc_id", "cls", "n_bytes", "anchors", "firsts"],
             )
@@ -111,18 +112,18 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if b - a >= LENGTH:
                 text = data[a:b].tobytes()
                 seen[hashlib.sha256(text).digest()] = text
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.binary())], ["cls", "text"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([c[:16] for c in seen], pa.binary()), pa.array(list(seen.values()), pa.binary())], ["cls", "half", "text"])
 
 
-def split_hot(text: np.ndarray, anchor: int, first: int, last: int) -> Iterator[tuple[int, int, int]]:
+def split_hot(text: np.ndarray, anchor: int, first: int, last: int, places: int = PLACES) -> Iterator[tuple[int, int, int]]:
     """(key, first, last) of the parts of a hot anchor's windows first <= s < last: by the anchor's place in the window and the bytes that windows of that place share."""
     k = kmer_hashes(text[first : first + LENGTH]).view(np.int64)
     p = first + int(np.flatnonzero(k == anchor)[0])
     s = first
     while s < last:
-        place = (p - s) // PLACES
-        upto = min(last, p - place * PLACES + 1)  # windows s with (p - s) // PLACES == place
-        core = text[p - place * PLACES : p - place * PLACES + LENGTH - PLACES + 1]
+        place = (p - s) // places
+        upto = min(last, p - place * places + 1)  # windows s with (p - s) // places == place
+        core = text[p - place * places : p - place * places + LENGTH - places + 1]
         digest = hashlib.blake2b(core.tobytes() + f"{anchor} {place}".encode(), digest_size=8).digest()
         yield int.from_bytes(digest, "little", signed=True), s, upto
         s = upto
@@ -143,8 +144,8 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((cls, None, None, None, text.tobytes()))
             size += len(text)
             for x in spots[i]:
-                first, last = x["first"], x["last"]
-                parts = [(x["anchor"], first, last)] if x["n"] <= HOT else split_hot(text, x["anchor"], first, last)
+                first, last = x["ends"] >> 32, x["ends"] & 0xFFFFFFFF
+                parts = [(x["anchor"], first, last)] if x["n"] <= HOT else split_hot(text, x["anchor"], first, last, PLACES if x["n"] <= HOTTER else 1)
                 for anchor, a, b in parts:
                     out.append((cls, anchor, a, text[a : b + LENGTH - 1].tobytes(), None))
                     size += b - a + LENGTH
@@ -245,23 +246,31 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["cls", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _half(c: str) -> Column:
+    """128 bits of a digest."""
+    return F.substring(c, 1, 16)
+
+
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, cuts): rows(doc_id, cls, n_bytes, copies) of docs(doc_id, text); cuts(cls, n_removed, n_spans, kept_sha256, kept) of the classes that lose some bytes, wholly repeated ones aside."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = materialise(docs.mapInArrow(_anchored, "doc_id long, cls binary, n_bytes long, anchors array<long>, firsts array<long>"))
+    found = materialise(docs.mapInArrow(_anchored, "doc_id long, cls binary, n_bytes long, anchors array<long>, firsts array<int>"))
     copies = found.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"))
     rows = found.select("doc_id", "cls", "n_bytes").join(copies, "cls")
     once = found.where("size(anchors) > 0").dropDuplicates(["cls"])
-    ends = F.concat(F.slice("firsts", 2, F.greatest(F.size("firsts") - 1, F.lit(0))), F.array(F.col("n_bytes") - LENGTH + 1))
+    ends = F.concat(F.slice("firsts", 2, F.greatest(F.size("firsts") - 1, F.lit(0))), F.array((F.col("n_bytes") - LENGTH + 1).cast("int")))
     each = once.select("cls", F.explode(F.arrays_zip("anchors", "firsts", ends.alias("lasts"))).alias("x"))
-    each = each.select(F.col("x.anchors").alias("anchor"), "cls", F.col("x.firsts").cast("int").alias("first"), F.col("x.lasts").cast("int").alias("last"))
+    # half of the digest, and both ends in one number: this is the table with the most rows
+    ends = F.shiftleft(F.col("x.firsts").cast("long"), 32) + F.col("x.lasts")
+    each = each.select(F.col("x.anchors").alias("anchor"), _half("cls").alias("half"), ends.alias("ends"))
     # counts are summed before the shuffle, and the join can be split where an anchor has many occurrences; a window can't
     counts = materialise(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     counted = each.join(counts.hint("merge"), "anchor")
-    spots = materialise(counted.groupBy("cls").agg(F.collect_list(F.struct("anchor", "first", "last", "n")).alias("spots")))
-    texts = docs.mapInArrow(_texts, "cls binary, text binary").dropDuplicates(["cls"])
-    pieces = materialise(texts.join(spots, "cls").select("cls", "text", "spots").mapInArrow(_pieces, _PIECE).withColumn("name", F.unhex(F.md5("piece"))))
+    spots = materialise(counted.groupBy("half").agg(F.collect_list(F.struct("anchor", "ends", "n")).alias("spots")), release=True)
+    texts = docs.mapInArrow(_texts, "cls binary, half binary, text binary").dropDuplicates(["half"])
+    pieces = texts.join(spots, "half").select("cls", "text", "spots").mapInArrow(_pieces, _PIECE).withColumn("name", F.unhex(F.md5("piece")))
+    pieces = materialise(pieces, release=True)
     named = pieces.where("piece is not null")
     distinct = named.groupBy("anchor", "name").agg(F.first("piece").alias("piece"), (F.count(F.lit(1)) > 1).alias("several"))
     covered = distinct.repartition(spread(spark), "anchor").sortWithinPartitions("anchor", "name").mapInArrow(_shards, _SPANS)

@@ -66,6 +66,7 @@ def test_near_copies_around_the_threshold(make_docs, monkeypatch):
 
 def test_blocks_of_an_open_group_miss_no_link(make_docs, monkeypatch):
     monkeypatch.setattr(minhash, "GROUP_BLOCK", 8)
+    monkeypatch.setattr(minhash, "BAND_BLOCK", 6)
     test_near_copies_around_the_threshold(make_docs, monkeypatch)
 
 

@@ -28,9 +28,10 @@ def expected_removed(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
-def test_removed_bytes_match_brute_force(docs, monkeypatch, hot):
+@pytest.mark.parametrize("hot,hotter", [(4096, 1 << 16), (1, 1 << 16), (1, 1)])
+def test_removed_bytes_match_brute_force(docs, monkeypatch, hot, hotter):
     monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "HOTTER", hotter)
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     got = sorted((tuple(r) for r in substrings.removed(docs).collect()), key=repr)
     assert got == expected_removed(rows)
