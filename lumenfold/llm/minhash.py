@@ -33,6 +33,8 @@ from .components import connected_components, roots
 SHINGLE = 5
 THRESHOLD = (85, 100)
 BANDS, ROWS, PERMS, BITS = 25, 5, 128, 2
+#: Rows of a band that are compared in one task; beyond it, pairs of blocks are.
+BAND_BLOCK = 1 << 15
 #: Rows of an open group that one task takes.
 GROUP_BLOCK = 4096
 #: Four standard errors of the estimate at the threshold.
@@ -265,6 +267,18 @@ def _links_of_open_groups(edges: DataFrame, checked: DataFrame, sets: DataFrame)
     return materialise(cells.repartition(spread(edges.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(_exact_links, "a binary, b binary"))
 
 
+def _celled(banded: DataFrame) -> DataFrame:
+    """Rows of bands with more than BAND_BLOCK rows are dealt out: every pair of blocks is a cell, which takes the band's place as key."""
+    large = materialise(banded.groupBy("key").count().where(F.col("count") > BAND_BLOCK).select("key", F.ceil(F.col("count") / BAND_BLOCK).cast("int").alias("blocks")))
+    if large.isEmpty():
+        return banded
+    placed = banded.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or block <> other")
+    cell = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
+    return placed.select(cell.alias("key"), "cls", "sig")
+
+
 def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows(doc_id, cls, n_shingles, keys, sig) of docs(doc_id, text); links(a, b): confirmed pairs of classes, enough of them to connect every component."""
     spark = docs.sparkSession
@@ -272,11 +286,13 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = materialise(docs.mapInArrow(_signatures, "doc_id long, cls binary, n_shingles long, keys array<long>, sig binary"))
     # which of a class's copies stands for it does not matter: they have one signature
     reps = rows.where("cls is not null").dropDuplicates(["cls"]).select("cls", "keys", "sig")
-    banded = reps.select(F.explode("keys").alias("key"), "cls", "sig")
+    banded = _celled(reps.select(F.explode("keys").alias("key"), "cls", "sig"))
     edges = materialise(banded.repartition(spread(spark), "key").sortWithinPartitions("key").mapInArrow(_forests, "key long, tree long, a binary, b binary"))
     pairs = materialise(edges.select("a", "b").distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    ids = rows.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id")).alias("x")).select(F.col("x.doc_id").alias("id")).distinct()
+    # a class is one row before it meets anything: copies are summed up where they lie
+    lowest = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("id"))
+    ids = lowest.join(wanted, "cls", "left_semi").select("id").distinct()
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi")
     sets = materialise(texts.mapInArrow(_sets, "cls binary, shingles binary").join(wanted, "cls", "left_semi").dropDuplicates(["cls"]))
     checked = _verified(pairs, sets)
@@ -296,11 +312,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     part = connected_components(links)
     smallest = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"))
     smallest = materialise(smallest.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "low"))
-    linked = smallest.groupBy("root").agg(F.min("low").alias("component_id"))
+    # stored before it is joined, so that the join can be split where a component is large
+    linked = materialise(smallest.groupBy("root").agg(F.min("low").alias("component_id")))
     named = smallest.join(linked, "root").select("cls", "component_id")
-    out = rows.select("doc_id", "cls", "n_shingles").join(named, "cls", "left")
-    known = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", known.alias("component_id"), F.coalesce(F.col("doc_id") == known, F.lit(False)).alias("kept"))
+    # rows without words, however many, don't meet in the join
+    blank = rows.where("cls is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = rows.where("cls is not null").select("doc_id", "cls", "n_shingles").join(named, "cls").select("doc_id", "n_shingles", "component_id").unionByName(blank)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

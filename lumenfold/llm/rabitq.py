@@ -191,7 +191,9 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     part = connected_components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     named = materialise(classes.select("cls", "size", "low").join(part.withColumnRenamed("node", "cls"), "cls", "left").join(links, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "low", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n")))
-    named = named.join(named.groupBy("root").agg(F.min("low").alias("component")), "root").select("cls", "n", "component")
+    # stored before it is joined, so that the join can be split where a component is large
+    smallest = materialise(named.groupBy("root").agg(F.min("low").alias("component")))
+    named = named.join(smallest, "root").select("cls", "n", "component")
     # unusable rows, however many, don't meet in the join
     unusable = rows.where("cls is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = usable.select("vec_id", "cls").join(named, "cls").select("vec_id", F.col("n").cast("long").alias("n_links"), F.col("component").alias("component_id"))
