@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step works on; larger texts are a step of their own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 #: Rows of an Arrow batch: texts of a few kB each make batches of a few MB, in the JVM and in Python.

@@ -285,7 +285,7 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialise(docs.mapInArrow(_signatures, "doc_id long, cls binary, n_shingles long, keys array<long>, sig binary"))
     # which of a class's copies stands for it does not matter: they have one signature
-    reps = rows.where("cls is not null").dropDuplicates(["cls"]).select("cls", "keys", "sig")
+    reps = materialise(rows.where("cls is not null").dropDuplicates(["cls"]).select("cls", "keys", "sig"))
     banded = _celled(reps.select(F.explode("keys").alias("key"), "cls", "sig"))
     edges = materialise(banded.repartition(spread(spark), "key").sortWithinPartitions("key").mapInArrow(_forests, "key long, tree long, a binary, b binary"))
     pairs = materialise(edges.select("a", "b").distinct())

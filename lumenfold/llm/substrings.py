@@ -8,7 +8,8 @@ Texts are UTF-8 bytes. Two equal strings must meet in one task, wherever their d
 2. Pieces. The windows of an occurrence of a repeated anchor make a piece of text, with the bytes that its last window
    needs. Each window of the corpus lies in one piece at most, and equal windows lie in pieces of one anchor. Anchors with
    more than HOT occurrences are split by the place of the anchor in the window and the bytes that all windows of that place
-   share, above HOTTER by single windows. Equal pieces of an anchor are folded into one with a count; a count above one makes all its windows repeats.
+   share, above HOTTER by single windows. Equal pieces of an anchor are folded into one with a count, first where they are
+   cut; a count above one makes all its windows repeats.
 3. Shards. The distinct pieces of whole anchors fill shards of about SHARD bytes. A shard's suffix array is induced, the
    permuted common prefixes computed, and a window is a repeat where it shares LENGTH bytes with a neighbour in the order.
 4. Runs of repeated windows go back to the documents by class (digest of the text); texts that occur twice as a whole are
@@ -31,7 +32,7 @@ from .suffixes import common_prefixes, suffix_array
 
 LENGTH = 200
 KMER = 32
-SHARD = 1 << 20
+SHARD = 1 << 19
 HOT = 4096
 #: Places of a hot anchor in a window that are kept together; above HOTTER occurrences each window is a piece of its own,
 #: so that all pieces of a key are equal and fold into one: no key gathers more than HOTTER pieces in a task.
@@ -129,36 +130,44 @@ def split_hot(text: np.ndarray, anchor: int, first: int, last: int, places: int
         s = upto
 
 
-_PIECE = "cls binary, anchor long, first long, piece binary, text binary"
+_PIECE = "cls binary, anchor long, first long, name binary, n long, piece binary, text binary"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each piece, and one with the text of each class."""
+    """Three kinds of rows: the text of each class; where a piece occurs (cls, anchor, first, name); a piece's bytes and how often the batch has it."""
     for batch in batches:
         data, offsets = text_column(batch.column("text"))
         spots = batch.column("spots").to_pylist()
         out: list[tuple] = []
+        folded: dict[tuple[int, bytes], list] = {}
         size = 0
         for i, cls in enumerate(batch.column("cls").to_pylist()):
             text = data[offsets[i] : offsets[i + 1]]
-            out.append((cls, None, None, None, text.tobytes()))
+            out.append((cls, None, None, None, None, None, text.tobytes()))
             size += len(text)
             for x in spots[i]:
                 first, last = x["ends"] >> 32, x["ends"] & 0xFFFFFFFF
                 parts = [(x["anchor"], first, last)] if x["n"] <= HOT else split_hot(text, x["anchor"], first, last, PLACES if x["n"] <= HOTTER else 1)
                 for anchor, a, b in parts:
-                    out.append((cls, anchor, a, text[a : b + LENGTH - 1].tobytes(), None))
-                    size += b - a + LENGTH
-            if size > 4 << 20:
-                yield _rows(out)
-                out, size = [], 0
+                    piece = text[a : b + LENGTH - 1].tobytes()
+                    name = hashlib.md5(piece, usedforsecurity=False).digest()
+                    out.append((cls, anchor, a, name, None, None, None))
+                    if (anchor, name) in folded:
+                        folded[anchor, name][1] += 1
+                    else:
+                        folded[anchor, name] = [piece, 1]
+                        size += len(piece)
+            if size > 2 << 20:
+                yield _rows(out, folded)
+                out, folded, size = [], {}, 0
         if out:
-            yield _rows(out)
+            yield _rows(out, folded)
 
 
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["cls", "anchor", "first", "piece", "text"])
+def _rows(out: list[tuple], folded: dict[tuple[int, bytes], list]) -> pa.RecordBatch:
+    out += [(None, anchor, None, name, n, piece, None) for (anchor, name), (piece, n) in folded.items()]
+    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["cls", "anchor", "first", "name", "n", "piece", "text"])
 
 
 def repeated_windows(pieces: list[bytes]) -> list[np.ndarray]:
@@ -199,21 +208,24 @@ _SPANS = "anchor long, name binary, starts array<long>, ends array<long>"
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partition sorted by anchor -> covered runs of each distinct piece. A shard ends with an anchor, and when it has SHARD bytes."""
-    held: list[tuple[int, bytes, bytes, bool]] = []
+    """Partition sorted by anchor and name -> covered runs of each distinct piece. A shard ends with an anchor, and when it has SHARD bytes."""
+    held: list[list] = []  # anchor, name, piece, occurs more than once
     size = 0
     for batch in batches:
-        for row in zip(batch.column("anchor").to_pylist(), batch.column("name").to_pylist(), batch.column("piece").to_pylist(), batch.column("several").to_pylist(), strict=True):
-            if size >= SHARD and held[-1][0] != row[0]:
+        for anchor, name, piece, n in zip(batch.column("anchor").to_pylist(), batch.column("name").to_pylist(), batch.column("piece").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            if held and held[-1][0] == anchor and held[-1][1] == name:
+                held[-1][3] = True
+                continue
+            if size >= SHARD and held[-1][0] != anchor:
                 yield _found(held)
                 held, size = [], 0
-            held.append(row)
-            size += len(row[2])
+            held.append([anchor, name, piece, n > 1])
+            size += len(piece)
     if held:
         yield _found(held)
 
 
-def _found(held: list[tuple[int, bytes, bytes, bool]]) -> pa.RecordBatch:
+def _found(held: list[list]) -> pa.RecordBatch:
     hits = repeated_windows([x[2] for x in held])
     rows = []
     for (anchor, name, piece, several), hit in zip(held, hits, strict=True):
@@ -258,7 +270,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = materialise(docs.mapInArrow(_anchored, "doc_id long, cls binary, n_bytes long, anchors array<long>, firsts array<int>"))
     copies = found.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"))
     rows = found.select("doc_id", "cls", "n_bytes").join(copies, "cls")
-    once = found.where("size(anchors) > 0").dropDuplicates(["cls"])
+    once = materialise(found.where("size(anchors) > 0").dropDuplicates(["cls"]).drop("doc_id"), release=True)
     ends = F.concat(F.slice("firsts", 2, F.greatest(F.size("firsts") - 1, F.lit(0))), F.array((F.col("n_bytes") - LENGTH + 1).cast("int")))
     each = once.select("cls", F.explode(F.arrays_zip("anchors", "firsts", ends.alias("lasts"))).alias("x"))
     # half of the digest, and both ends in one number: this is the table with the most rows
@@ -269,13 +281,10 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     counted = each.join(counts.hint("merge"), "anchor")
     spots = materialise(counted.groupBy("half").agg(F.collect_list(F.struct("anchor", "ends", "n")).alias("spots")), release=True)
     texts = docs.mapInArrow(_texts, "cls binary, half binary, text binary").dropDuplicates(["half"])
-    pieces = texts.join(spots, "half").select("cls", "text", "spots").mapInArrow(_pieces, _PIECE).withColumn("name", F.unhex(F.md5("piece")))
-    pieces = materialise(pieces, release=True)
-    named = pieces.where("piece is not null")
-    distinct = named.groupBy("anchor", "name").agg(F.first("piece").alias("piece"), (F.count(F.lit(1)) > 1).alias("several"))
-    covered = distinct.repartition(spread(spark), "anchor").sortWithinPartitions("anchor", "name").mapInArrow(_shards, _SPANS)
-    covered = materialise(covered)
-    runs = named.select("cls", "anchor", "name", "first").join(covered, ["anchor", "name"])
+    pieces = materialise(texts.join(spots, "half").select("cls", "text", "spots").mapInArrow(_pieces, _PIECE), release=True)
+    folded = pieces.where("piece is not null").select("anchor", "name", "piece", "n")
+    covered = materialise(folded.repartition(spread(spark), "anchor").sortWithinPartitions("anchor", "name").mapInArrow(_shards, _SPANS))
+    runs = pieces.where("first is not null").select("cls", "anchor", "name", "first").join(covered, ["anchor", "name"])
     runs = runs.select("cls", "first", F.explode(F.arrays_zip("starts", "ends")).alias("x"))
     runs = runs.groupBy("cls").agg(F.collect_list(F.struct((F.col("first") + F.col("x.starts")).alias("start"), (F.col("first") + F.col("x.ends")).alias("end"))).alias("runs"))
     cuts = pieces.where("text is not null").select("cls", "text").join(runs, "cls").mapInArrow(_cut, "cls binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
