@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import materialise, mix, powers, prefix_hash, spread, table, text_chunks, text_column
@@ -88,31 +89,33 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, data, offsets in text_chunks(batch.column("text")):
+        for _, _, data, offsets in text_chunks(batch.column("text")):
             found, first, bounds = anchors(data, offsets)
             raw = data.tobytes()
             cls = [hashlib.sha256(raw[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id")[lo:hi],
                     pa.array(cls, pa.binary()),
                     pa.array(np.diff(offsets)),
                     pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found)),
                     pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(first, pa.int32())),
                 ],
-                ["doc_id", "cls", "n_bytes", "anchors", "firsts"],
+                ["cls", "n_bytes", "anchors", "firsts"],
             )
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, text) of texts with a window, each once a task and batch."""
+    """(cls, half, text) of texts with a window, each once a batch; texts are packed, as all of them are shuffled once."""
+    pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
         data, offsets = text_column(batch.column("text"))
         seen: dict[bytes, bytes] = {}
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             if b - a >= LENGTH:
                 text = data[a:b].tobytes()
-                seen[hashlib.sha256(text).digest()] = text
+                cls = hashlib.sha256(text).digest()
+                if cls not in seen:
+                    seen[cls] = pack(text)
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([c[:16] for c in seen], pa.binary()), pa.array(list(seen.values()), pa.binary())], ["cls", "half", "text"])
 
 
@@ -135,16 +138,17 @@ _PIECE = "cls binary, anchor long, first long, name binary, n long, piece binary
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Three kinds of rows: the text of each class; where a piece occurs (cls, anchor, first, name); a piece's bytes and how often the batch has it."""
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        data, offsets = text_column(batch.column("text"))
+        packed = batch.column("text").to_pylist()
         spots = batch.column("spots").to_pylist()
         out: list[tuple] = []
         folded: dict[tuple[int, bytes], list] = {}
         size = 0
         for i, cls in enumerate(batch.column("cls").to_pylist()):
-            text = data[offsets[i] : offsets[i + 1]]
-            out.append((cls, None, None, None, None, None, text.tobytes()))
-            size += len(text)
+            text = np.frombuffer(unpack(packed[i]), dtype=np.uint8)
+            out.append((cls, None, None, None, None, None, packed[i]))
+            size += len(packed[i])
             for x in spots[i]:
                 first, last = x["ends"] >> 32, x["ends"] & 0xFFFFFFFF
                 parts = [(x["anchor"], first, last)] if x["n"] <= HOT else split_hot(text, x["anchor"], first, last, PLACES if x["n"] <= HOTTER else 1)
@@ -238,10 +242,11 @@ def _found(held: list[list]) -> pa.RecordBatch:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         rows = []
-        for cls, text, runs in zip(batch.column("cls").to_pylist(), batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-            kept, at, removed, count, last = [], 0, 0, 0, -1
+        for cls, packed, runs in zip(batch.column("cls").to_pylist(), batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+            text, kept, at, removed, count, last = unpack(packed), [], 0, 0, 0, -1
             for a, b in sorted((r["start"], r["end"]) for r in runs):
                 if a > last:  # runs that touch are one
                     count += 1
@@ -267,10 +272,10 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, cuts): rows(doc_id, cls, n_bytes, copies) of docs(doc_id, text); cuts(cls, n_removed, n_spans, kept_sha256, kept) of the classes that lose some bytes, wholly repeated ones aside."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = materialise(docs.mapInArrow(_anchored, "doc_id long, cls binary, n_bytes long, anchors array<long>, firsts array<int>"))
-    copies = found.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"))
-    rows = found.select("doc_id", "cls", "n_bytes").join(copies, "cls")
-    once = materialise(found.where("size(anchors) > 0").dropDuplicates(["cls"]).drop("doc_id"), release=True)
+    known = materialise(docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("cls"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")))
+    rows = known.join(known.groupBy("cls").agg(F.count(F.lit(1)).alias("copies")), "cls")
+    found = docs.mapInArrow(_anchored, "cls binary, n_bytes long, anchors array<long>, firsts array<int>")
+    once = materialise(found.where("size(anchors) > 0").dropDuplicates(["cls"]), release=True)
     ends = F.concat(F.slice("firsts", 2, F.greatest(F.size("firsts") - 1, F.lit(0))), F.array((F.col("n_bytes") - LENGTH + 1).cast("int")))
     each = once.select("cls", F.explode(F.arrays_zip("anchors", "firsts", ends.alias("lasts"))).alias("x"))
     # half of the digest, and both ends in one number: this is the table with the most rows
