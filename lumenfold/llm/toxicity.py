@@ -3,7 +3,8 @@
 Logistic regression over indicators of words (runs of letters) and of their beginnings. For each labelled sentence with an identity term, the
 sentence with its terms swapped for others of their group is a counterfactual: the squared difference of the two scores
 (before the sigmoid) is penalised, so a term alone moves no score and neutral mentions are not taken for toxic ones.
-Sentences of a document are swapped together, as labels are of documents.
+Words are swapped with all their features, beginnings too. Sentences of a document are swapped together, as labels are
+of documents.
 """
 
 from __future__ import annotations
@@ -44,8 +45,8 @@ def _named(terms: tuple[str, ...]) -> np.ndarray:
     return (words(np.frombuffer(b"".join(raw), np.uint8), offsets, LETTERS)[2] >> _SHIFT).astype(np.int64)
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Distinct hashed words and beginnings of words of each text."""
+def _parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word its features, itself first and then its beginnings; the first word of each text."""
     starts, ends, word, bounds = words(data, offsets, LETTERS)
     found = [word]
     if len(word):
@@ -53,12 +54,53 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         for n in BEGINNINGS:
             # of shorter words, the word itself once more
             found.append(np.where(ends - starts > n, mix((h[np.minimum(starts + n, ends)] - h[starts]) * back[starts] + np.uint64(n)), word))
-    grid = (np.stack(found, axis=1) >> _SHIFT).astype(np.int64)
-    return [np.unique(grid[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    return np.stack(found, axis=1), bounds
+
+
+def _hashed(parts: np.ndarray) -> np.ndarray:
+    return np.unique((parts >> _SHIFT).astype(np.int64))
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Distinct hashed words and beginnings of words of each text."""
+    parts, bounds = _parts(data, offsets)
+    return [_hashed(parts[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+def counterfactuals(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """features() of each text with its identity terms swapped, as if the words were written anew; empty where it has none.
+
+    All mentions of a term in a text become the same other term, chosen by a hash of the term and the text's words.
+    """
+    others: dict[int, np.ndarray] = {}
+    for group in IDENTITY:
+        raw = [t.encode() for t in group]
+        names = _parts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))[0]
+        others |= {int(n[0]): names[names[:, 0] != n[0]] for n in names}
+    terms = np.array(sorted(others), dtype=np.uint64)
+    parts, bounds = _parts(data, offsets)
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        held = np.unique(parts[a:b, 0][np.isin(parts[a:b, 0], terms)])
+        swapped_parts = parts[a:b].copy()
+        for h, pick in zip(held.tolist(), mix(held + parts[a:b, 0].sum(dtype=np.uint64)).tolist(), strict=True):
+            swapped_parts[parts[a:b, 0] == h] = others[h][pick % len(others[h])]
+        out.append(_hashed(swapped_parts) if len(held) else np.zeros(0, np.int64))
+    return out
+
+
+def with_counterfactuals(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """features() of each text, and as ~feature those of its counterfactual."""
+    return [np.concatenate([~x, r]) for r, x in zip(features(data, offsets), counterfactuals(data, offsets), strict=True)]
+
+
+def fit_texts(rows: list[np.ndarray], y: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, float]:
+    """fit() of rows that with_counterfactuals made."""
+    return fit([r[r >= 0] for r in rows], y, part, [~r[r < 0] for r in rows])
 
 
 def swapped(rows: list[np.ndarray], seed: int = 23) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """(with, without): what each row that holds identity terms gains and loses when they are swapped."""
+    """(with, without): what each row that holds identity terms gains and loses when they are swapped; of rows that are sets of whole words."""
     rng = np.random.Generator(np.random.PCG64(seed))
     place: dict[int, np.ndarray] = {}
     for group in IDENTITY:
@@ -93,14 +135,18 @@ def evidence(x: Rows, y: np.ndarray) -> np.ndarray:
     return np.where(z < LEAST_Z, 0.0, np.minimum(1.0, (z / max(best, LEAST_Z)) ** 2))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, float]:
-    """(weights, bias) by accelerated gradient descent."""
+def fit(rows: list[np.ndarray], y: np.ndarray, part: np.ndarray, others: list[np.ndarray] | None = None) -> tuple[np.ndarray, float]:
+    """(weights, bias) by accelerated gradient descent. others: the counterfactuals of the rows; without them rows are sets of whole words."""
     del part
     distinct = list({hashlib.blake2b(r.tobytes(), digest_size=16).digest(): i for i, r in enumerate(rows)}.values())  # copies say nothing new
-    rows, y = [rows[i] for i in distinct], y[distinct]
+    rows, y, others = [rows[i] for i in distinct], y[distinct], others and [others[i] for i in distinct]
     if len(set(y.tolist())) < 2:
         return np.zeros(DIMENSIONS), float(np.log(((y == 1).sum() + 1) / ((y == 0).sum() + 1)))
-    gains, losses = swapped(rows)
+    if others is None:
+        gains, losses = swapped(rows)
+    else:
+        pairs = [(r, x) for r, x in zip(rows, others, strict=True) if len(x)]
+        gains, losses = ([np.setdiff1d(x, r) for r, x in pairs], [np.setdiff1d(r, x) for r, x in pairs])
     trust = evidence(Rows(rows), y)
     terms = np.concatenate([_named(g) for g in IDENTITY])
     used = np.union1d(np.flatnonzero(trust), terms if gains else terms[:0])
@@ -130,7 +176,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, part: np.ndarray) -> tuple[np.nda
 
 def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic"):
     """A function of (bytes, offsets) that scores texts: the estimated probability that a text is toxic."""
-    w, bias = fit_in_one_task(sample(docs, labels, label), features, fit)
+    w, bias = fit_in_one_task(sample(docs, labels, label), with_counterfactuals, fit_texts)
     bias += prior_shift(labels, label)
     w = w.astype(np.float32)
     return lambda data, offsets: sigmoid(np.array([float(w[r].sum()) + bias for r in features(data, offsets)]))

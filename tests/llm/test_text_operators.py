@@ -160,6 +160,48 @@ def test_counterfactuals_hold_identity_terms_back():
     assert w[insult] > 1 and w[term] - w[other] < 0.5 * (free[term] - free[other])
 
 
+def _joined(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def test_counterfactuals_are_features_of_swapped_texts():
+    texts = ["Muslim words and womenfolk", "plain words", "", "she saw women and WOMEN"]
+    for t, x in zip(texts, toxicity.counterfactuals(*_joined(texts)), strict=True):
+        found = {w.lower() for w in t.split()} & {w for g in toxicity.IDENTITY for w in g}
+        if not found:
+            assert not len(x)
+            continue
+        wanted = [t.lower()]
+        for w in found:
+            group = next(g for g in toxicity.IDENTITY if w in g)
+            wanted = [" ".join(o if v == w else v for v in s.split()) for s in wanted for o in group if o != w]
+        assert any(np.array_equal(x, f) for f in toxicity.features(*_joined(wanted)))
+
+
+def test_counterfactuals_hold_beginnings_of_terms_back(monkeypatch):
+    """On texts: no weight goes from a term to its beginnings, where a penalty on whole words alone does not act."""
+    rng = np.random.default_rng(2)
+    texts, y = [], []
+    for _ in range(1500):
+        bad = rng.random() < 0.4
+        w = [f"w{chr(97 + a)}{chr(97 + b)}" for a, b in rng.integers(0, 20, (20, 2)).tolist()]
+        w += ["vile"] * (rng.random() < (0.7 if bad else 0.05))
+        w += ["muslim"] if rng.random() < (0.8 if bad else 0.1) else ["christian"] if rng.random() < 0.3 else []
+        texts.append(" ".join(w))
+        y.append(int(bad))
+    said = toxicity.features(*_joined(["muslim", "christian", "vile"]))
+
+    def scores():
+        w, _ = toxicity.fit_texts(toxicity.with_counterfactuals(*_joined(texts)), np.array(y), np.zeros(len(y)))
+        return [float(w[x].sum()) for x in said]
+
+    term, other, insult = scores()
+    monkeypatch.setattr(toxicity, "PENALTY", 0.0)
+    free_term, free_other, _ = scores()
+    assert insult > 1 and free_term - free_other > 1 and term - other < 0.5 * (free_term - free_other)
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(3)
     rows = [np.unique(np.append(rng.integers(10, 200, 8), 1 if i % 2 else 2)) for i in range(200)]
