@@ -3,8 +3,8 @@
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a document's set holds its distinct 5-word shingles (with fewer
 words the whole sequence is the one shingle; without words the set is empty and links with nothing).
 
-1. One pass over the texts: class key (digest of the word sequence), set size, 25 band keys of 5 minima each, and 128
-   minima cut to 2 bits (32 bytes).
+1. One pass over the texts: class key (digest of the word sequence), set size, band keys (25 of 5 minima each at 0.85,
+   32 of 4 at 0.8), and 128 minima cut to 2 bits (32 bytes).
 2. Equal word sequences are one class; from here on classes are compared, so exact copies cost nothing.
 3. Classes that share a band key meet in a task. Bit counts of the packed signatures give the collision-corrected
    similarity (match - 1/4) / (3/4); where it is at least the threshold less four standard errors, the pair is a
@@ -15,7 +15,8 @@ words the whole sequence is the one shingle; without words the set is empty and
    returned, so rows stay in proportion to the input.
 5. Components over the confirmed links.
 
-At similarity 0.85 a pair shares no band with probability (1 - 0.85**5)**25 < 1e-6.
+At the threshold a pair shares no band with probability (1 - threshold**rows)**bands < MISS. The threshold is 0.85, by
+op10's contract, unless a caller names another.
 """
 
 from __future__ import annotations
@@ -31,21 +32,38 @@ from .common import materialise, mix, spread, table, text_chunks, text_column, w
 from .components import connected_components, roots
 
 SHINGLE = 5
+#: Of op10's contract, in whole numbers.
 THRESHOLD = (85, 100)
-BANDS, ROWS, PERMS, BITS = 25, 5, 128, 2
+PERMS, BITS, MISS = 128, 2, 1e-6
 #: Rows of a band that are compared in one task; beyond it, pairs of blocks are.
 BAND_BLOCK = 1 << 15
 #: Rows of an open group that one task takes.
 GROUP_BLOCK = 4096
-#: Four standard errors of the estimate at the threshold.
-MARGIN = 4 * float(np.sqrt((p := 0.85 + 0.15 / 4) * (1 - p) / 0.75**2 / PERMS))
+#: Standard errors of the estimate between the threshold and the floor of candidates.
+ERRORS = 4
 
 _rng = np.random.Generator(np.random.PCG64(71))
 _FLIP = _rng.integers(0, 2**32, PERMS, dtype=np.uint32)
 _ODD = _rng.integers(0, 2**31, PERMS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PLACE = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
-_BAND = mix(np.arange(100, 100 + ROWS, dtype=np.uint64)) | np.uint64(1)
-_SEED = mix(np.arange(1000, 1000 + BANDS, dtype=np.uint64))
+_BAND = mix(np.arange(100, 100 + PERMS, dtype=np.uint64)) | np.uint64(1)
+_SEED = mix(np.arange(1000, 1000 + PERMS, dtype=np.uint64))
+
+
+def layout(threshold: tuple[int, int]) -> tuple[int, int]:
+    """(bands, rows of a band): the longest bands of which a pair at the threshold misses all with a probability below MISS."""
+    at = threshold[0] / threshold[1]
+    fit = [(PERMS // rows, rows) for rows in range(1, PERMS + 1) if (1 - at**rows) ** (PERMS // rows) < MISS]
+    if not fit:
+        raise ValueError(f"{PERMS} minima are too few for a threshold of {at}")
+    return fit[-1]
+
+
+def floor_of(threshold: tuple[int, int]) -> float:
+    """The least estimate of a candidate: the threshold less ERRORS standard errors."""
+    at, chance = threshold[0] / threshold[1], 1 / 2**BITS
+    match = at + (1 - at) * chance
+    return at - ERRORS * float(np.sqrt(match * (1 - match) / PERMS)) / (1 - chance)
 
 
 def shingle_sets(hashes: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
@@ -92,7 +110,8 @@ def class_key(text: bytes) -> bytes:
     return hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16).digest()
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], threshold: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    bands, long = layout(threshold)
     for batch in batches:
         for lo, hi, data, offsets in text_chunks(batch.column("text")):
             _, _, hashes, bounds = words(data, offsets)
@@ -104,8 +123,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 low = minima(s)
                 cls.append(class_key(raw[offsets[i] : offsets[i + 1]]))
-                rows = low[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
-                keys.append(mix((rows * _BAND).sum(axis=1) ^ _SEED).view(np.int64))
+                rows = low[: bands * long].reshape(bands, long).astype(np.uint64)
+                keys.append(mix((rows * _BAND[:long]).sum(axis=1) ^ _SEED[:bands]).view(np.int64))
                 sig.append(pack(low))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi].cast(pa.int64()), pa.array(cls, pa.binary()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["doc_id", "cls", "n_shingles", "keys", "sig"])
 
@@ -164,8 +183,8 @@ def _as_words(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), -1)
 
 
-def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    floor = THRESHOLD[0] / THRESHOLD[1] - MARGIN
+def _forests(batches: Iterator[pa.RecordBatch], threshold: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    floor = floor_of(threshold)
     out: list[tuple] = []
     for t in _groups(batches, "key"):
         if t.num_rows < 2:
@@ -195,26 +214,26 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["cls", "shingles"])
 
 
-def similar(x: np.ndarray, y: np.ndarray) -> bool:
+def similar(x: np.ndarray, y: np.ndarray, threshold: tuple[int, int]) -> bool:
     """Jaccard similarity of two sets of distinct shingles, in whole numbers."""
     both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-    return THRESHOLD[1] * both >= THRESHOLD[0] * (len(x) + len(y) - both)
+    return threshold[1] * both >= threshold[0] * (len(x) + len(y) - both)
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], threshold: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         (x, i), (y, j) = text_column(batch.column("one")), text_column(batch.column("other"))
-        ok = [similar(x[i[k] : i[k + 1]].view(np.uint64), y[j[k] : j[k + 1]].view(np.uint64)) for k in range(batch.num_rows)]
+        ok = [similar(x[i[k] : i[k + 1]].view(np.uint64), y[j[k] : j[k + 1]].view(np.uint64), threshold) for k in range(batch.num_rows)]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     one = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("one"))
     other = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("other"))
-    return materialise(pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(_confirm, "a binary, b binary, linked boolean"))
+    return materialise(pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(lambda x: _confirm(x, threshold), "a binary, b binary, linked boolean"))
 
 
-def _exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _exact_links(batches: Iterator[pa.RecordBatch], threshold: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Of each cell: links that join its parts, found by comparing every row outside the largest part with all rows of other parts, on full sets."""
     for t in _groups(batches, "cell"):
         cls = t["cls"].to_pylist()
@@ -239,7 +258,7 @@ def _exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = np.zeros(len(other), dtype=np.int64)
             for k in range(0, len(other), 4096):
                 both[k : k + 4096] = np.bitwise_count(bits[i] & bits[other[k : k + 4096]]).sum(axis=1, dtype=np.int64)
-            near = other[THRESHOLD[1] * both >= THRESHOLD[0] * (size[i] + size[other] - both)]
+            near = other[threshold[1] * both >= threshold[0] * (size[i] + size[other] - both)]
             if len(near):
                 _, first = np.unique(part[near], return_index=True)
                 out += [tuple(sorted((cls[i], cls[j]))) for j in near[first].tolist()]
@@ -248,7 +267,7 @@ def _exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["a", "b"])
 
 
-def _links_of_open_groups(edges: DataFrame, checked: DataFrame, sets: DataFrame) -> DataFrame | None:
+def _links_of_open_groups(edges: DataFrame, checked: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame | None:
     """Links inside trees with an edge that wasn't confirmed; None where there is no such tree."""
     bad = edges.join(checked.where("not linked"), ["a", "b"]).select("key", "tree").distinct()
     bad = materialise(edges.join(bad, ["key", "tree"]).select("a", "b").distinct())
@@ -264,7 +283,7 @@ def _links_of_open_groups(edges: DataFrame, checked: DataFrame, sets: DataFrame)
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other")).alias("cell")
     cells = placed.select(cell, "cls", "part", "block").join(sets, "cls")
-    return materialise(cells.repartition(spread(edges.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(_exact_links, "a binary, b binary"))
+    return materialise(cells.repartition(spread(edges.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(lambda x: _exact_links(x, threshold), "a binary, b binary"))
 
 
 def _celled(banded: DataFrame) -> DataFrame:
@@ -279,15 +298,15 @@ def _celled(banded: DataFrame) -> DataFrame:
     return placed.select(cell.alias("key"), "cls", "sig")
 
 
-def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows(doc_id, cls, n_shingles, keys, sig) of docs(doc_id, text); links(a, b): confirmed pairs of classes, enough of them to connect every component."""
+def link_classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(rows, links): rows(doc_id, cls, n_shingles, keys, sig) of docs(doc_id, text); links(a, b): confirmed pairs of classes (similarity of at least threshold, a fraction), enough of them to connect every component."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialise(docs.mapInArrow(_signatures, "doc_id long, cls binary, n_shingles long, keys array<long>, sig binary"))
+    rows = materialise(docs.mapInArrow(lambda x: _signatures(x, threshold), "doc_id long, cls binary, n_shingles long, keys array<long>, sig binary"))
     # which of a class's copies stands for it does not matter: they have one signature
     reps = materialise(rows.where("cls is not null").dropDuplicates(["cls"]).select("cls", "keys", "sig"))
     banded = _celled(reps.select(F.explode("keys").alias("key"), "cls", "sig"))
-    edges = materialise(banded.repartition(spread(spark), "key").sortWithinPartitions("key").mapInArrow(_forests, "key long, tree long, a binary, b binary"))
+    edges = materialise(banded.repartition(spread(spark), "key").sortWithinPartitions("key").mapInArrow(lambda x: _forests(x, threshold), "key long, tree long, a binary, b binary"))
     pairs = materialise(edges.select("a", "b").distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     # a class is one row before it meets anything: copies are summed up where they lie
@@ -295,20 +314,20 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ids = lowest.join(wanted, "cls", "left_semi").select("id").distinct()
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi")
     sets = materialise(texts.mapInArrow(_sets, "cls binary, shingles binary").join(wanted, "cls", "left_semi").dropDuplicates(["cls"]))
-    checked = _verified(pairs, sets)
+    checked = _verified(pairs, sets, threshold)
     links = checked.where("linked").select("a", "b")
-    more = _links_of_open_groups(edges, checked, sets)
+    more = _links_of_open_groups(edges, checked, sets, threshold)
     return rows, links if more is None else links.unionByName(more)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
 
     Null or blank texts: no shingles, a component of their own. Null doc_id: the row still links; its component_id is
     the smallest known id of its component (null if there is none), kept is false unless the id is known. Repeated rows
     are copies of one another. An empty table gives no rows. Other columns are ignored.
     """
-    rows, links = link_classes(docs)
+    rows, links = link_classes(docs, threshold)
     part = connected_components(links)
     smallest = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"))
     smallest = materialise(smallest.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "low"))
@@ -321,14 +340,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """docs with one row of each component, the one with the smallest doc_id; a row without id counts as after all others.
 
     Of repeated rows (same id and text) one stays.
     """
     nameless = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
     docs = docs.withColumn("keep_one_id", F.coalesce(F.col("doc_id").cast("long"), nameless))
-    found = near_duplicates(docs.select(F.col("keep_one_id").alias("doc_id"), "text"))
+    found = near_duplicates(docs.select(F.col("keep_one_id").alias("doc_id"), "text"), threshold)
     count = found.where("kept").groupBy(F.col("doc_id").alias("keep_one_id")).count()
     once = docs.join(count.where("count = 1").select("keep_one_id"), "keep_one_id", "left_semi")
     again = docs.join(count.where("count > 1").select("keep_one_id"), "keep_one_id", "left_semi").dropDuplicates(["keep_one_id", "text"])
@@ -336,4 +355,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), THRESHOLD)

@@ -78,6 +78,28 @@ def test_one_document_of_each_group_stays(docs):
     assert set(ids) == {r["doc_id"] for r in minhash.near_duplicates(docs).where("kept").collect()}
 
 
+def test_stage_links_from_its_own_threshold(spark, make_docs):
+    """41 shared shingles of a union of 50 (0.82): near-duplicates for the pipeline's stage, not for op10's contract."""
+    import corpus_pipeline
+
+    rows = []
+    for i in range(30):
+        w = [f"t{i}w{k}" for k in range(54)]
+        rows += [(2 * i, " ".join(w[:49]), "en", "a", 1), (2 * i + 1, " ".join(w[:45] + [f"new{i}n{k}" for k in range(5)]), "en", "a", 1)]
+    a, b = shingles(rows[0][1]), shingles(rows[1][1])
+    assert (len(a & b), len(a | b)) == (41, 50)
+    docs = make_docs(rows)
+    assert minhash.near_duplicates(docs).where("not kept").count() == 0
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.minhash_stage(spark, docs, "").collect())
+    assert kept == [2 * i for i in range(30)]
+
+
+@pytest.mark.parametrize("threshold", [(80, 100), (85, 100)])
+def test_bands_miss_hardly_a_pair_at_the_threshold(threshold):
+    bands, rows = minhash.layout(threshold)
+    assert bands * rows <= minhash.PERMS and (1 - (threshold[0] / threshold[1]) ** rows) ** bands < 1e-6
+
+
 def test_empty_tables(empty, spark):
     assert minhash.near_duplicates(empty).collect() == []
     assert minhash.keep_one(empty).collect() == []
