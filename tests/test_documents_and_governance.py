@@ -35,6 +35,14 @@ def test_health_of_damaged_documents():
     assert extract.structure(document(b"5 0 obj ("))["truncated_structure"] == 1
 
 
+def test_streams_beyond_ten_thousand_count():
+    raw = document(b"1 0 obj\nstream\nab\nendstream\nendobj\n" * 10_000 + b"1 0 obj\nstream\n" + b"c" * 20_002 + b"\nendstream\nendobj\n")
+    out = extract.structure(raw)
+    assert out["stream_count"] >= 10_001 and out["extraction_limit_reached"] == 0 and out["abstain_recommended"] == 0
+    sizes = out["avg_stream_size"] * out["stream_count"]
+    assert sizes >= 2 * 10_000 + 20_002
+
+
 def test_bounded_decoding():
     data = b"hello " * 50
     packed = zlib.compress(data)
