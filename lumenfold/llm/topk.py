@@ -102,9 +102,10 @@ def search(ids: np.ndarray, q: np.ndarray, bound: np.ndarray, vec_ids: np.ndarra
                 shortest = np.where(bound[rest] > 0, bound[rest] / qn[rest], 0).min()
             upto = int(np.searchsorted(-length, -shortest / slack, "right"))
             s = products(q[rest], part[:upto])
+            s[vec_ids[lo : lo + upto] == ids[rest][:, None]] = -np.inf  # rows of the query itself, however many
             floor = bound[rest]
             if upto > k:
-                floor = np.maximum(floor, np.partition(s, upto - k - 1, axis=1)[:, upto - k - 1])  # one more than k, as one may be the query itself
+                floor = np.maximum(floor, np.partition(s, upto - k, axis=1)[:, upto - k])
             i, j = np.nonzero(s >= floor[:, None])
             new.append((rest[i], j + lo, s[i, j]))
         a, b, s = (np.concatenate(x) for x in zip(*new, strict=True))

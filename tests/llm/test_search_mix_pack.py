@@ -48,6 +48,28 @@ def test_top_products_of_small_tables(spark):
     assert [tuple(r) for r in topk.top_products(make([(0, [1.0]), (1, [2.0])])).collect()] == [(0, 1, 1, 131072)]
 
 
+@pytest.mark.parametrize("copies", [2, 7])
+def test_rows_of_the_query_take_no_place_of_candidates(spark, copies):
+    """A queried vec_id that repeats: its own rows have the highest products, and k others are found all the same."""
+    rows = [(0, [10.0, 0.0])] * copies + [(i, [1.0 + i / 64, 1.0]) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_products(df).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == [(0, n, 40 - n, 2560 * (256 + 4 * (40 - n))) for n in range(1, 6)]
+
+
+@pytest.mark.parametrize("copies", [2, 7])
+def test_search_finds_k_others_of_a_step(copies):
+    rng = np.random.default_rng(7)
+    v = np.floor(rng.standard_normal((200, 8)) * 256)
+    q = v[:1] * 3
+    v, ids = np.concatenate([np.repeat(q, copies, axis=0), v]), np.concatenate([np.zeros(copies, int), np.arange(1, 201)])
+    order = np.argsort(-np.linalg.norm(v, axis=1), kind="stable")
+    v, ids = v[order], ids[order]
+    _, at, score = topk.search(np.zeros(1, int), q, np.full(1, -np.inf), ids, v, 5)
+    best = np.sort((v @ q[0])[ids != 0])[::-1][:5]
+    assert sorted(score, reverse=True) == best.tolist() and 0 not in ids[at]
+
+
 def test_huge_components_are_exact():
     q, v = np.array([[2.0**40, 1.0]]), np.array([[2.0**20, 3.0]])
     assert topk.products(q, v)[0, 0] == float(2**60 + 3)
