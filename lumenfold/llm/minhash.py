@@ -7,7 +7,7 @@ words the whole sequence is the one shingle; without words the set is empty and
    32 of 4 at 0.8), and 128 minima cut to 2 bits (32 bytes).
 2. Equal word sequences are one class; from here on classes are compared, so exact copies cost nothing.
 3. Classes that share a band key meet in a task. Bit counts of the packed signatures give the collision-corrected
-   similarity (match - 1/4) / (3/4); where it is at least the threshold less four standard errors, the pair is a
+   similarity (match - 1/4) / (3/4); where it is at least the threshold less six standard errors, the pair is a
    candidate. A task emits a spanning forest of its candidates, not all pairs.
 4. Each candidate is confirmed on the full shingle sets. Trees of a forest with an edge that isn't confirmed are joined to
    groups; in a group, rows of different parts are all compared on full sets, as bit rows over the shingles that
@@ -40,13 +40,14 @@ BAND_BLOCK = 1 << 15
 #: Rows of an open group that one task takes.
 GROUP_BLOCK = 4096
 #: Standard errors of the estimate between the threshold and the floor of candidates.
-ERRORS = 4
+ERRORS = 6
 
 _rng = np.random.Generator(np.random.PCG64(71))
 _FLIP = _rng.integers(0, 2**32, PERMS, dtype=np.uint32)
 _ODD = _rng.integers(0, 2**31, PERMS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PLACE = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 _BAND = mix(np.arange(100, 100 + PERMS, dtype=np.uint64)) | np.uint64(1)
+_NUMBER = np.arange(1, PERMS + 1, dtype=np.uint64) << np.uint64(32)
 _SEED = mix(np.arange(1000, 1000 + PERMS, dtype=np.uint64))
 
 
@@ -93,7 +94,11 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def pack(low: np.ndarray) -> bytes:
-    """The two lowest bits of each minimum: all first bits, then all second bits."""
+    """Two bits of a hash of each minimum and its number: all first bits, then all second bits.
+
+    The lowest bits of the minimum itself come from the same two bits of its shingle in every permutation.
+    """
+    low = mix(low + _NUMBER)
     return np.packbits(np.concatenate([low & 1, low >> 1 & 1]).astype(np.uint8)).tobytes()
 
 

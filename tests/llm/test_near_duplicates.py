@@ -124,6 +124,20 @@ def test_estimates_and_forest():
     assert (part[20:30] == part[5]).all()
 
 
+def test_estimates_of_small_sets_stay_above_the_floor():
+    """Pairs of 6 against 7 shingles (0.857): the kept bits of different minima are independent, so none falls below the floor."""
+    rng = np.random.default_rng(11)
+    floor, low, spread = minhash.floor_of(minhash.THRESHOLD), 1.0, []
+    for _ in range(4000):
+        x = rng.integers(0, 2**64, 7, dtype=np.uint64)
+        s = [np.frombuffer(minhash.pack(minhash.minima(np.sort(y))), np.uint64) for y in (x, x[:6])]
+        spread.append(float(minhash.estimate(s[0], s[1][None])[0]))
+        low = min(low, spread[-1])
+    match = 6 / 7 + 1 / 28
+    assert low >= floor
+    assert np.std(spread) < 1.1 * np.sqrt(match * (1 - match) / minhash.PERMS) / 0.75
+
+
 def test_components_of_chains_and_rounds(spark, monkeypatch):
     edges = [(i, i + 1) for i in range(0, 200) if i % 50 != 49] + [(300, 300), (7, 3)]
     df = spark.createDataFrame(edges, "a long, b long").repartition(5)
