@@ -29,7 +29,7 @@ from .minhash import _groups
 
 THRESHOLD = 0.9
 EPS = 1.9
-MISS = 0.002
+MISS = 1e-6
 BUCKET = 512
 BLOCK = 4096
 TILE = 512

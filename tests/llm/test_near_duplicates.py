@@ -186,6 +186,12 @@ def test_vectors_match_brute_force(spark, monkeypatch, block):
     assert got == expected_vectors(rows)
 
 
+@pytest.mark.parametrize("classes", [1000, 100_000, 1_000_000])
+def test_tables_miss_hardly_a_pair_at_the_threshold(classes):
+    bits, tables = rabitq.plan(classes)
+    assert (1 - (1 - np.arccos(rabitq.THRESHOLD) / np.pi) ** bits) ** tables <= 1e-6
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(5)
     dim = 64
