@@ -94,11 +94,12 @@ def digests(conversations: DataFrame) -> DataFrame:
     told = F.concat_ws("", F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     exploded = whole.select("conv_id", F.posexplode_outer("examples").alias("example", "x"))
     trained = exploded.groupBy("conv_id").agg(
-        F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.when(F.col("example").isNotNull(), F.struct("example", "x.target")))), lambda e: unescape(e["target"]))).alias("loss"),
         F.count("example").alias("n_examples"),
         F.coalesce(F.sum(F.col("x.context_chars") + F.length("x.target")), F.lit(0)).alias("example_chars"),
     )
-    whole = whole.select(F.col("conv_id").alias("id"), "formatted", read_back(F.col("formatted")).alias("turns"))
+    # what the loss mask leaves of the formatted text, not the targets that went in
+    masked = F.concat_ws("", F.transform("examples", lambda e: unescape(F.substring(F.col("formatted"), (e["context_chars"] + 1).cast("int"), F.length(e["target"])))))
+    whole = whole.select(F.col("conv_id").alias("id"), "formatted", read_back(F.col("formatted")).alias("turns"), masked.alias("loss"))
     both = whole.join(trained, whole["id"].eqNullSafe(trained["conv_id"]))
     return both.select(
         "conv_id",

@@ -273,3 +273,14 @@ def test_chat_round_trip(spark):
     assert all(whole[e["conv_id"]].startswith(e["context"] + e["target"] + chat.END_TURN) and e["context"].endswith("### assistant: ") for e in each)
     assert {c: sum(len(e["context"]) + len(e["target"]) for e in each if e["conv_id"] == c) for c in got} == {c: r["example_chars"] for c, r in got.items()}
     assert chat.digests(df.where("false")).collect() == []
+
+
+def test_loss_is_read_through_the_mask(spark, monkeypatch):
+    """Masks that are off by one character change the digest of the loss."""
+    df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yes ### no")], "conv_id long, turn long, role string, text string")
+    right = chat.digests(df).first()
+    assert right["loss_sha256"] == hashlib.sha256(b"yes ### no").hexdigest()
+    made = chat.formatted
+    moved = F.transform("examples", lambda e: F.struct((e["context_chars"] + 1).alias("context_chars"), e["target"].alias("target")))
+    monkeypatch.setattr(chat, "formatted", lambda x: made(x).withColumn("examples", moved))
+    assert chat.digests(df).first()["loss_sha256"] != right["loss_sha256"]
