@@ -878,14 +878,14 @@ def _(spark, d):
 def _(spark, d):
     from ..operators.uncertainty import confusion_interval
 
-    return confusion_interval(scores(spark, d), "user_id", 0.5, 200)
+    return confusion_interval(scores(spark, d), "user_id", 0.5)
 
 
 @query("ranking_ci")
 def _(spark, d):
     from ..operators.uncertainty import ranking_interval
 
-    return ranking_interval(scores(spark, d), "user_id", 100)
+    return ranking_interval(scores(spark, d), "user_id")
 
 
 @query("paired_difference")
@@ -893,7 +893,7 @@ def _(spark, d):
     from ..operators.uncertainty import paired_difference
 
     s = scores(spark, d)
-    return paired_difference(s, s.withColumn("score", F.col("score") * F.col("score")), "user_id", 0.25, 200)
+    return paired_difference(s, s.withColumn("score", F.col("score") * F.col("score")), "user_id", 0.25)
 
 
 _EXPLAINED = ("l_quantity", "l_discount", "l_tax")

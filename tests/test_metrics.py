@@ -140,3 +140,27 @@ def test_models_and_calibration(spark):
     assert models.best_calibrator(models.calibrators(s)) in ("identity", "platt", "isotonic")
     split = models.role_split(df, "k", "label").groupBy("role").count().collect()
     assert {r["role"] for r in split} == {"train", "validation", "calibration", "test"}
+
+
+def test_registered_bootstraps_draw_as_many_as_the_configuration(spark, monkeypatch):
+    import inspect
+
+    from lumenfold.operators import uncertainty
+    from lumenfold.plans import catalogue
+
+    drawn = []
+    for name in ("confusion_interval", "ranking_interval", "paired_difference"):
+        kind = inspect.signature(getattr(uncertainty, name))
+
+        def record(*args, kind=kind, **named):
+            given = kind.bind(*args, **named)
+            given.apply_defaults()
+            drawn.append(given.arguments["replicates"])
+
+        monkeypatch.setattr(uncertainty, name, record)
+    monkeypatch.setattr(catalogue, "scores", lambda s, d: s.createDataFrame([(0.5,)], "score double"))
+    import __spark_entry__
+
+    for name in ("bootstrap_ci", "ranking_ci", "paired_difference"):
+        __spark_entry__.queries()[name](spark, "")
+    assert drawn == [1000, 200, 1000]
