@@ -26,33 +26,67 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is named (tests, local runs)."""
+    """The shared folder that the cluster names; one of our own only where none is named and all tasks run in this process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"/tmp/checkpoints/{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"/tmp/checkpoints/{os.getpid()}"
 
 
-def materialise(df: DataFrame, release: bool = False) -> DataFrame:
-    """Cuts lineage: writes df to the shared scratch folder and reads it back, so a lost executor costs no recomputation.
+#: Removes the shuffle files of a query at its end, so that they don't lie on disk beside those that follow.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_written: list[str] = []
 
-    release: has the driver collect its garbage, upon which Spark removes the shuffle files of what is written; after large
-    shuffles, so that they don't lie on disk beside those that follow.
-    """
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cuts lineage: writes df to the shared scratch folder and reads it back, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     path = f"{scratch_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if release:
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that materialise has written, once all that reads them is itself written."""
+    for t in tables:
+        if path := getattr(t, "_scratch", None):
+            _delete(t.sparkSession, path)
+
+
+def written() -> tuple[str, ...]:
+    """Tables that this process has written and not removed."""
+    return tuple(_written)
+
+
+def discard_since(spark: SparkSession, before: tuple[str, ...], *keep: DataFrame) -> None:
+    """Removes what materialise has written since written() gave before, keep aside."""
+    kept = {*before, *(getattr(t, "_scratch", None) for t in keep)}
+    for path in [p for p in _written if p not in kept]:
+        _delete(spark, path)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Removes all tables that materialise has written; results that still read them must have been stored before."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/tables")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{scratch_dir(spark)}/tables")
+    _written.clear()
 
 
 def spread(spark: SparkSession) -> int:
