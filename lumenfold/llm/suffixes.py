@@ -19,11 +19,33 @@ def classify(t: np.ndarray) -> np.ndarray:
     return small[at]
 
 
+def _runs(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted values: the distinct ones, how often each occurs, and each item's number within its value."""
+    inner = np.flatnonzero(c[1:] != c[:-1])
+    edge = np.empty(len(inner) + 2, dtype=np.int64)
+    edge[0], edge[-1] = 0, len(c)
+    np.add(inner, 1, out=edge[1:-1])
+    count = edge[1:] - edge[:-1]
+    return c[edge[:-1]], count, np.arange(len(c)) - edge[:-1].repeat(count)
+
+
+def _blocks(far: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of buckets (first, last + 1) such that what a run induces lies beyond it: far[c] is the nearest bucket above c that c induces into."""
+    far = np.minimum.accumulate(far[::-1])[::-1].tolist()
+    out, c, n = [], 0, len(far)
+    while c < n:
+        out.append((c, min(far[c], n)))
+        c = far[c]
+    return out
+
+
 def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, kinds: int) -> np.ndarray:
     """The order of all suffixes that follows from the order of the leftmost S ones.
 
-    Buckets are the first characters. Within a bucket the scan goes in waves: all that is placed so far gives its
-    predecessors at once, those of the same bucket are the next wave.
+    Buckets are the first characters. The scan takes a run of buckets at a time in which no bucket induces into another, so
+    the run is complete but for suffixes that repeat their first character (these follow in waves), and induces the
+    predecessors of all its suffixes at once. Each suffix is placed once and read once for each pass. Alphabets may be as
+    large as the text, as those of names are.
     """
     n = len(t)
     count = np.bincount(t, minlength=kinds)
@@ -32,93 +54,104 @@ def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, kinds: int) -> np.
     sa = np.full(n, -1, dtype=np.int64)
     first = t[lms]
     order = np.argsort(first, kind="stable")
-    per = np.bincount(first, minlength=kinds)
-    sa[(end - per)[first[order]] + np.arange(len(lms)) - (np.cumsum(per) - per)[first[order]]] = lms[order]
-    head = start.copy()
-
-    def ahead(block: np.ndarray) -> None:
-        j = block[block > 0] - 1
-        j = j[~small[j]]
+    c, k, within = _runs(first[order])
+    sa[(end[c] - k).repeat(k) + within] = lms[order]
+    same = np.zeros(n, dtype=bool)  # the suffix begins as the next one does
+    same[:-1] = t[:-1] == t[1:]
+    wave = np.zeros(kinds + 1, dtype=np.int64)
+    wave[1:] = np.cumsum(np.bincount(t[same], minlength=kinds) > 0)
+    wave = wave.tolist()
+    lower, upper = start.tolist(), end.tolist()
+
+    def placed(j: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
+        """j, in the order of the scan, at the next free places of their buckets; in the order of the buckets."""
+        c = t[j]
+        o = np.argsort(c, kind="stable")
+        j = j[o]
+        c, k, within = _runs(c[o])
+        base = at[c].repeat(k)
+        sa[base + within if step > 0 else base - 1 - within] = j
+        at[c] += step * k
+        return j
+
+    def scan(kind: np.ndarray, at: np.ndarray, step: int, lo: int, hi: int) -> None:
+        """Places what the buckets lo <= c < hi induce among suffixes of a kind."""
+        a, b = lower[lo], upper[hi - 1]
+        if a == b:
+            return
+        if wave[hi] > wave[lo]:
+            j = sa[a:b][::step]
+            while len(j):
+                j = j[j > 0] - 1
+                j = j[kind[j] & same[j]]
+                if len(j):
+                    j = placed(j, at, step)
+        j = sa[a:b][::step]
+        j = j[j > 0] - 1
+        j = j[kind[j] & ~same[j]]
         if len(j):
-            c = t[j]
-            o = np.argsort(c, kind="stable")
-            c, j = c[o], j[o]
-            k = np.bincount(c, minlength=kinds)
-            sa[head[c] + np.arange(len(c)) - (np.cumsum(k) - k)[c]] = j
-            head[:] += k
-
-    used = np.flatnonzero(count).tolist()
-    for c in used:
-        at = int(start[c])
-        while at < head[c]:
-            block = sa[at : head[c]]
-            at = int(head[c])
-            ahead(block)
-        if per[c]:
-            ahead(sa[end[c] - per[c] : end[c]])
-    tail = end.copy()
-
-    def behind(block: np.ndarray) -> None:
-        j = block[block > 0] - 1
-        j = j[small[j]]
-        if len(j):
-            c = t[j]
-            o = np.argsort(c, kind="stable")
-            c, j = c[o], j[o]
-            k = np.bincount(c, minlength=kinds)
-            sa[tail[c] - 1 - (np.arange(len(c)) - (np.cumsum(k) - k)[c])] = j
-            tail[:] -= k
+            placed(j, at, step)
 
+    large = ~small
+    large[-1] = False
+    far = np.full(kinds, kinds, dtype=np.int64)
+    j = np.flatnonzero(large[:-1] & ~same[:-1])
+    np.minimum.at(far, t[j + 1], t[j])
+    head = start.copy()
+    for lo, hi in _blocks(far):
+        scan(large, head, 1, lo, hi)
+    sa[(sa >= 0) & small[sa]] = -1
     sa[0] = n - 1  # the end of the text, before all
-    for c in used[::-1]:
-        at = int(end[c])
-        while at > tail[c]:
-            block = sa[tail[c] : at][::-1].copy()
-            at = int(tail[c])
-            behind(block)
-        if head[c] > start[c]:
-            behind(sa[start[c] : head[c]][::-1])
+    # the same from the right: buckets are counted from the last one
+    far = np.full(kinds, kinds, dtype=np.int64)
+    j = np.flatnonzero(small[:-1] & ~same[:-1])
+    np.minimum.at(far, kinds - 1 - t[j + 1], kinds - 1 - t[j])
+    tail = end.copy()
+    for lo, hi in _blocks(far):
+        scan(small, tail, -1, kinds - hi, kinds - lo)
     return sa
 
 
-def suffix_array(t: np.ndarray, kinds: int, depth: int | None = None) -> np.ndarray:
-    """Order of the suffixes of t (small whole numbers, the last one 0 and no other 0), by their first depth values at least.
+def _named(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Names, in the order of the text, of the substrings between leftmost S suffixes; equal ones, ends included, have one name."""
+    n = len(t)
+    at = np.empty(n, dtype=np.int64)
+    at[lms] = np.arange(len(lms))
+    length = (np.append(lms[1:] + 1, n) - lms)[at[ordered]]
+    new = np.ones(len(lms), dtype=bool)
+    new[1:] = length[1:] != length[:-1]
+    i, k = np.flatnonzero(~new), 0
+    while len(i):  # pairs of neighbours that agree so far
+        differ = t[ordered[i] + k] != t[ordered[i - 1] + k]
+        new[i[differ]] = True
+        k += 1
+        i = i[~differ]
+        i = i[length[i] > k]
+    names = np.empty(len(lms), dtype=np.int64)
+    names[at[ordered]] = np.cumsum(new) - 1
+    return names
+
+
+def suffix_array(t: np.ndarray, kinds: int) -> np.ndarray:
+    """Order of the suffixes of t (whole numbers below kinds, the last one 0 and no other 0).
 
     Suffixes are classified, the substrings between leftmost S suffixes are sorted by induction and named, the string of
-    names is sorted, and the order of all suffixes is induced from it. The alphabet of names is too large for waves over
-    buckets, so the string of names is sorted by doubling its ranks; a name covers two characters at least, which is where
-    the rounds stop when a depth is given.
+    names, at most half as long, is sorted in the same way, and the order of all suffixes is induced from it.
     """
     n = len(t)
+    if n < 3:
+        return np.argsort(t, kind="stable")
     small = classify(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    if not len(lms):
-        return np.argsort(t, kind="stable") if n < 2 else induce(t, small, np.array([n - 1]), kinds)
     is_lms = np.zeros(n, dtype=bool)
     is_lms[lms] = True
     sa = induce(t, small, lms, kinds)
     ordered = sa[is_lms[sa]]
-    # equal substrings: equal length and hash (64 bits) up to and with the next leftmost S
-    until = np.append(lms[1:] + 1, n)
-    p = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, 0x9E3779B97F4A7C15, np.uint64)]))
-    h = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((t.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ np.uint64(0xA5A5A5A5)) * p[:-1], out=h[1:])
-    back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(0x9E3779B97F4A7C15, -1, 2**64), np.uint64)]))
-    value = (h[until] - h[lms]) * back[lms] + (until - lms).astype(np.uint64)
-    at = np.empty(n, dtype=np.int64)
-    at[lms] = np.arange(len(lms))
-    index = at[ordered]
-    new = np.ones(len(lms), dtype=np.int64)
-    new[1:] = value[index][1:] != value[index][:-1]
-    names = np.empty(len(lms), dtype=np.int64)
-    names[index] = np.cumsum(new) - 1
-    k, m = 1, len(lms)
-    while names.max() < m - 1 and (depth is None or 2 * k < depth):
-        after = np.zeros(m, dtype=np.int64)
-        after[:-k or None] = names[k:] + 1 if k < m else 0
-        _, names = np.unique(names * (m + 1) + after, return_inverse=True)
-        k *= 2
-    return induce(t, small, lms[np.argsort(names, kind="stable")], kinds)
+    names = _named(t, lms, ordered)
+    kinds_of_names = int(names.max()) + 1
+    if kinds_of_names < len(lms):
+        ordered = lms[suffix_array(names, kinds_of_names)]
+    return induce(t, small, ordered, kinds)
 
 
 def common_prefixes(data: np.ndarray, sa: np.ndarray, room: np.ndarray, cap: int) -> np.ndarray:
