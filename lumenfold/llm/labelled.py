@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import text_chunks
 
-#: Labelled rows of each class that a model is fitted on, the first by a hash of their id. The only bounded sample.
-SAMPLE = 4000
+#: Labelled documents of each class that a model is fitted on, the first by a hash of their id, and bytes of their texts
+#: together. The only bounded sample.
+SAMPLE, SAMPLE_BYTES = 4000, 64 << 20
 FOLDS = 5
 DIMENSIONS = 1 << 18
 
@@ -37,21 +38,35 @@ def prior_shift(labels: DataFrame, label: str, per_class: int = SAMPLE) -> float
     return float(np.log(n[1] / n[0]) - np.log(min(n[1], per_class) / min(n[0], per_class)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SAMPLE) -> DataFrame:
-    """(text, y, part): up to per_class labelled documents of each class."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SAMPLE, per_class_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(id, text, y, part): up to per_class labelled documents of each class, whole texts of at most per_class_bytes together.
+
+    An id whose rows have several texts is learned from by the shortest (of equals, the first by a hash); rows with that
+    text are all there, and fit_in_one_task takes one of them. A null text is empty.
+    """
     known = known_labels(labels, label)
     each = [known.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(per_class) for y in (0, 1)]
     # at most 2 * per_class ids
     chosen = F.broadcast(each[0].unionByName(each[1]))
-    texts = docs.select("doc_id", "text")
-    return texts.join(chosen, texts["doc_id"] == chosen["id"]).select("text", F.col("y").cast("int").alias("y"), F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(100)).cast("int").alias("part"))
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    # one text an id, told by its length and digest: no text is shuffled to choose
+    named = texts.join(chosen, texts["doc_id"] == chosen["id"]).select("id", "y", F.struct(F.octet_length("text").alias("n"), F.xxhash64("text").alias("h")).alias("one"))
+    named = named.groupBy("id", "y").agg(F.min("one").alias("one"))
+    upto = F.sum("one.n").over(Window.partitionBy("y").orderBy(F.xxhash64(F.lit(5), "id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    named = F.broadcast(named.withColumn("upto", upto).where(F.col("upto") <= per_class_bytes))
+    same = (texts["doc_id"] == named["id"]) & (F.octet_length(texts["text"]) == named["one.n"]) & (F.xxhash64(texts["text"]) == named["one.h"])
+    return texts.join(named, same).select("id", "text", F.col("y").cast("int").alias("y"), F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(100)).cast("int").alias("part"))
 
 
 def _featured(batches: Iterator[pa.RecordBatch], features: Features) -> Iterator[pa.RecordBatch]:
+    """Features of each id's text, once a partition."""
+    seen: set = set()
     for batch in batches:
+        new = [x not in seen and not seen.add(x) for x in batch.column("id").to_pylist()]
+        batch = batch.filter(pa.array(new, pa.bool_()))
         for lo, hi, data, offsets in text_chunks(batch.column("text")):
             x = [f.astype(np.int32).tobytes() for f in features(data, offsets)]
-            yield pa.RecordBatch.from_arrays([batch.column("y")[lo:hi], batch.column("part")[lo:hi], pa.array(x, pa.binary())], ["y", "part", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("id")[lo:hi], batch.column("y")[lo:hi], batch.column("part")[lo:hi], pa.array(x, pa.binary())], ["id", "y", "part", "x"])
 
 
 class Rows:
@@ -93,13 +108,16 @@ def fit_in_one_task(examples: DataFrame, features: Features, fit: Callable[[list
     """The model that fit(rows, y, part) makes of the bounded sample; rows come in an order that doesn't depend on tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(x, y, p) for b in batches for x, y, p in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), b.column("part").to_pylist(), strict=True)]
-        held.sort()
+        one = {}
+        for b in batches:
+            one.update((i, (x, y, p)) for i, x, y, p in zip(*(b.column(c).to_pylist() for c in ("id", "x", "y", "part")), strict=True))
+        held = sorted(one.values())
         rows = [np.frombuffer(x, np.int32) for x, _, _ in held]
         model = fit(rows, np.array([y for _, y, _ in held]), np.array([p for _, _, p in held]))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    made = examples.mapInArrow(lambda b: _featured(b, features), "y int, part int, x binary").repartition(1).mapInArrow(run, "model binary").collect()
+    kind = examples.schema["id"].dataType.simpleString()
+    made = examples.mapInArrow(lambda b: _featured(b, features), f"id {kind}, y int, part int, x binary").repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(bytes(made[0]["model"])) if made else fit([], np.zeros(0, int), np.zeros(0, int))
 
 

@@ -67,6 +67,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [_hashed(parts[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
+def _listed(terms: tuple[str, ...]) -> np.ndarray:
+    """_parts() of terms, a row each."""
+    raw = [t.encode() for t in terms]
+    return _parts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))[0]
+
+
 def counterfactuals(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """features() of each text with its identity terms swapped, as if the words were written anew; empty where it has none.
 
@@ -74,9 +80,11 @@ def counterfactuals(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """
     others: dict[int, np.ndarray] = {}
     for group in IDENTITY:
-        raw = [t.encode() for t in group]
-        names = _parts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))[0]
+        names = _listed(group)
         others |= {int(n[0]): names[names[:, 0] != n[0]] for n in names}
+        # only A-Z is lower-cased in words: a term with other capitals is the same term
+        capitals = _listed(tuple("".join(c if c.isascii() else c.upper() for c in t) for t in group))
+        others |= {int(c[0]): others[int(n[0])] for n, c in zip(names, capitals, strict=True)}
     terms = np.array(sorted(others), dtype=np.uint64)
     parts, bounds = _parts(data, offsets)
     out = []
