@@ -11,7 +11,7 @@ words the whole sequence is the one shingle; without words the set is empty and
    candidate. A task emits a spanning forest of its candidates, not all pairs.
 4. Each candidate is confirmed on the full shingle sets. Trees of a forest with an edge that isn't confirmed are joined to
    groups; in a group, rows of different parts are all compared on full sets, as bit rows over the shingles that
-   several of them hold. Groups above GROUP_BLOCK rows are dealt out as pairs of blocks. Only links that join parts are
+   several of them hold. Groups above GROUP_BLOCK rows or GROUP_SHINGLES shingles are dealt out as pairs of blocks. Only links that join parts are
    returned, so rows stay in proportion to the input.
 5. Components over the confirmed links.
 
@@ -37,8 +37,10 @@ THRESHOLD = (85, 100)
 PERMS, BITS, MISS = 128, 2, 1e-6
 #: Rows of a band that are compared in one task; beyond it, pairs of blocks are.
 BAND_BLOCK = 1 << 15
-#: Rows of an open group that one task takes.
-GROUP_BLOCK = 4096
+#: Rows of an open group, and shingles of them together, that make a block; a task takes a pair of blocks.
+GROUP_BLOCK, GROUP_SHINGLES = 4096, 1 << 21
+#: Bytes of the bit rows of a cell; where they would take more, intersections are counted from lists of rows.
+BIT_ROWS = 1 << 28
 #: Standard errors of the estimate between the threshold and the floor of candidates.
 ERRORS = 6
 
@@ -214,9 +216,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, data, offsets in text_chunks(batch.column("text")):
             _, _, hashes, bounds = words(data, offsets)
             raw = data.tobytes()
-            rows = [(class_key(raw[offsets[i] : offsets[i + 1]]), s.tobytes()) for i, s in enumerate(shingle_sets(hashes, bounds)) if len(s)]
+            rows = [(class_key(raw[offsets[i] : offsets[i + 1]]), s.tobytes(), len(s)) for i, s in enumerate(shingle_sets(hashes, bounds)) if len(s)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["cls", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.int64()), strict=True)], ["cls", "shingles", "held"])
 
 
 def similar(x: np.ndarray, y: np.ndarray, threshold: tuple[int, int]) -> bool:
@@ -238,6 +240,43 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) ->
     return materialise(pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(lambda x: _confirm(x, threshold), "a binary, b binary, linked boolean"))
 
 
+def intersections(row: np.ndarray, column: np.ndarray, rows: int, limit: int):
+    """A function (i, others) -> how many columns row i shares with each other row, of a table of (row, column) pairs sorted by row.
+
+    Bit rows where they take no more than limit bytes; else the lists of the rows that hold a column, whose size is that
+    of the pairs.
+    """
+    width = (int(column.max()) // 64 + 1) if len(column) else 1
+    if rows * width * 8 <= limit:
+        bits = np.zeros((rows, width), dtype=np.uint64)
+        np.bitwise_or.at(bits, (row, column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
+        step = max(1, (1 << 24) // (8 * width))
+
+        def count(i: int, others: np.ndarray) -> np.ndarray:
+            both = np.zeros(len(others), dtype=np.int64)
+            for k in range(0, len(others), step):
+                both[k : k + step] = np.bitwise_count(bits[i] & bits[others[k : k + step]]).sum(axis=1, dtype=np.int64)
+            return both
+
+        return count
+    order = np.argsort(column, kind="stable")
+    holders = row[order].astype(np.int32)
+    first = np.searchsorted(column[order], np.arange(int(column.max()) + 2))
+    begin = np.searchsorted(row, np.arange(rows + 1))
+
+    def listed(i: int, others: np.ndarray) -> np.ndarray:
+        both = np.zeros(rows, dtype=np.int64)
+        mine = column[begin[i] : begin[i + 1]]
+        for k in range(0, len(mine), 4096):
+            c = mine[k : k + 4096]
+            n = first[c + 1] - first[c]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[c], n)
+            both += np.bincount(holders[at], minlength=rows)
+        return both[others]
+
+    return listed
+
+
 def _exact_links(batches: Iterator[pa.RecordBatch], threshold: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Of each cell: links that join its parts, found by comparing every row outside the largest part with all rows of other parts, on full sets."""
     for t in _groups(batches, "cell"):
@@ -253,16 +292,12 @@ def _exact_links(batches: Iterator[pa.RecordBatch], threshold: tuple[int, int])
         row = np.repeat(np.arange(len(cls)), size)
         common = count[name] > 1
         row, column = row[common], column[name[common]]
-        width = (int(column.max()) // 64 + 1) if len(column) else 1
-        bits = np.zeros((len(cls), width), dtype=np.uint64)
-        np.bitwise_or.at(bits, (row, column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
+        shared = intersections(row, column, len(cls), BIT_ROWS)
         names, counts = np.unique(part, return_counts=True)
         out = []
         for i in np.flatnonzero(part != names[counts.argmax()]).tolist():
             other = np.flatnonzero((part != part[i]) & (block != block[i]) if cross else part != part[i])
-            both = np.zeros(len(other), dtype=np.int64)
-            for k in range(0, len(other), 4096):
-                both[k : k + 4096] = np.bitwise_count(bits[i] & bits[other[k : k + 4096]]).sum(axis=1, dtype=np.int64)
+            both = shared(i, other)
             near = other[threshold[1] * both >= threshold[0] * (size[i] + size[other] - both)]
             if len(near):
                 _, first = np.unique(part[near], return_index=True)
@@ -282,12 +317,13 @@ def _links_of_open_groups(edges: DataFrame, checked: DataFrame, sets: DataFrame,
     part = connected_components(checked.where("linked").select("a", "b")).select(F.col("node").alias("cls"), F.col("root").alias("part"))
     member = materialise(group.join(part, "cls", "left").select("cls", "group", F.coalesce("part", "cls").alias("part")))
     # a group that is one part has nothing left to find
-    open_ = member.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y")
-    open_ = open_.select("group", F.ceil(F.col("n") / GROUP_BLOCK).cast("int").alias("blocks"))
+    sized = member.join(sets.select("cls", "held"), "cls")
+    open_ = sized.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("held").alias("held"), F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y")
+    open_ = open_.select("group", F.ceil(F.greatest(F.col("n") / GROUP_BLOCK, F.col("held") / GROUP_SHINGLES)).cast("int").alias("blocks"))
     placed = member.join(open_, "group").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other")).alias("cell")
-    cells = placed.select(cell, "cls", "part", "block").join(sets, "cls")
+    cells = placed.select(cell, "cls", "part", "block").join(sets.drop("held"), "cls")
     return materialise(cells.repartition(spread(edges.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(lambda x: _exact_links(x, threshold), "a binary, b binary"))
 
 
@@ -318,7 +354,7 @@ def link_classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> tup
     lowest = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("id"))
     ids = lowest.join(wanted, "cls", "left_semi").select("id").distinct()
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi")
-    sets = materialise(texts.mapInArrow(_sets, "cls binary, shingles binary").join(wanted, "cls", "left_semi").dropDuplicates(["cls"]))
+    sets = materialise(texts.mapInArrow(_sets, "cls binary, shingles binary, held long").join(wanted, "cls", "left_semi").dropDuplicates(["cls"]))
     checked = _verified(pairs, sets, threshold)
     links = checked.where("linked").select("a", "b")
     more = _links_of_open_groups(edges, checked, sets, threshold)
@@ -361,3 +397,22 @@ def keep_one(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFra
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), THRESHOLD)
+
+
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS n, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT n, doc_id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS grams, len(w) AS words
+  FROM d
+), k AS (SELECT n, doc_id, CASE WHEN words = 0 THEN 0 ELSE len(grams) END AS size, CASE WHEN words = 0 THEN [] ELSE grams END AS grams FROM s),
+e AS (SELECT n, size, unnest(grams) AS gram FROM k),
+l AS (
+  SELECT a.n AS a, b.n AS b FROM e a JOIN e b ON a.gram = b.gram AND a.n <> b.n
+  GROUP BY a.n, b.n, a.size, b.size HAVING 100 * count(*) >= 85 * (a.size + b.size - count(*))
+), r AS (SELECT n AS a, n AS b FROM k UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT r.a AS n, min(k.doc_id) AS component_id FROM r JOIN k ON r.b = k.n GROUP BY r.a)
+SELECT doc_id, CAST(size AS BIGINT) AS n_shingles, component_id, coalesce(doc_id = component_id, false) AS kept FROM k JOIN c USING (n)
+"""
