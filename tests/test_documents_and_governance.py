@@ -62,6 +62,38 @@ def test_object_streams():
     assert extract.object_streams(good + bad) == {"seen": 2, "valid": 1, "failed": 1, "limit_reached": False}
 
 
+def test_strings_comments_and_streams_in_each_other():
+    c = extract.canonical(b"(a \\) % ( nested ) /JS) /A#42 % (not a text\n<</B<2f/JS>>> (open /JS")
+    assert c.text == b"/AB <</B >>" and (c.escapes, c.comments) == (1, 1)
+    c = extract.canonical(b"1 0 obj stream\r\n/JS endstreams endstream /K stream\nnever")
+    assert c.text == b"1 0 obj stream endstream /K stream" and c.bodies == 2
+    found = [x.content(b"stream\nab\r\nendstream stream\n\nendstream") for x in extract.bodies(b"stream\nab\r\nendstream stream\n\nendstream")]
+    assert found == [b"ab", b""]
+
+
+@pytest.mark.parametrize("unit", [b"<< ", b"stream\n", b"(", b"<", b"%", b"/#41", b"endstream ", b">>stream\n", b"/EF<<", b"/Title("])
+def test_hostile_documents_take_time_in_proportion(unit):
+    import time
+
+    began = time.process_time()
+    extract.structure(unit * ((4 << 20) // len(unit)))
+    assert time.process_time() - began < 12
+
+
+def test_metadata_of_the_information_dictionary():
+    info = b"7 0 obj\n<< /Title (A \\(small\\) title) /Author <feff00e9> /Producer (x) >>\nendobj\n"
+    file = b"8 0 obj << /Type /Filespec /EF << /F 9 0 R >> >> endobj 9 0 obj << /Type /EmbeddedFile /Length 120 >> stream\nx\nendstream endobj\n"
+    raw = document(info + file).replace(b"trailer\n<< >>", b"trailer\n<< /Info 7 0 R >>")
+    r = extract.structure(raw)
+    assert extract.information(raw) == {"/Title": "A (small) title", "/Author": "\u00e9", "/Producer": "x"}
+    assert (r["title_chars"], r["avg_embedded_media_size"], r["parse_failure"], r["abstain_recommended"]) == (15, 120, 0, 0)
+    assert r["metadata_size"] == len(str(extract.information(raw)))
+    assert extract.structure(b"%PDF-1.4 nothing")["recovery_mode"] == 1
+    from lumenfold.specs import BASE_NAMES, STATUS
+
+    assert set(BASE_NAMES) | set(STATUS) <= set(extract.FIELDS)
+
+
 def test_batch_and_single_agree(spark):
     raws = {str(i): document(b"%d 0 obj << /JS >> endobj\n" % i, b"/URI " * i) for i in range(1, 30)}
     df = spark.createDataFrame([(k, bytearray(v)) for k, v in raws.items()] + [("none", None)], "id string, content binary")
