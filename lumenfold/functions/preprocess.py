@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.order import long, quantiles
 from ..specs import ContractError
 
 LOW, HIGH = 0.0001, 0.9999
@@ -30,19 +31,11 @@ def finite(name: str):
 
 
 def statistics(df: DataFrame, features: tuple[str, ...]) -> DataFrame:
-    """feature, median, n_distinct, low, high: one wide aggregation, then unpivoted."""
-    aggregates = []
-    for f in features:
-        x = finite(f)
-        aggregates += [
-            F.percentile(x, F.lit(0.5)).alias(f"{f}__median"),
-            (F.count_distinct(x) + F.max(x.isNull().cast("int"))).cast("double").alias(f"{f}__distinct"),
-            F.percentile(x, F.lit(LOW)).alias(f"{f}__low"),
-            F.percentile(x, F.lit(HIGH)).alias(f"{f}__high"),
-        ]
-    row = df.agg(*aggregates)
-    each = F.array(*[F.struct(F.lit(f).alias("feature"), *[F.col(f"{f}__{k}").alias(k) for k in ("median", "distinct", "low", "high")]) for f in features])
-    return row.select(F.inline(each)).withColumnRenamed("distinct", "n_distinct")
+    """feature, median, n_distinct, low, high: a row a feature, from the distinct values of each and their counts."""
+    x = long(df.select(*[finite(f).alias(f) for f in features]), features)
+    distinct = x.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")).groupBy("feature").agg(F.count(F.lit(1)).cast("double").alias("n_distinct"))
+    q = quantiles(x, "value", (0.5, LOW, HIGH), ("feature",), "q")
+    return distinct.join(q, "feature", "left").select("feature", F.col("q")[0].alias("median"), "n_distinct", F.col("q")[1].alias("low"), F.col("q")[2].alias("high"))
 
 
 def fit(df: DataFrame, features: tuple[str, ...], partition: str = "train", clip: bool = False) -> Fitted:

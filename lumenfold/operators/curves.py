@@ -6,10 +6,12 @@ ranges, then within a range), so no task holds all scores.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-RANGES = 1024
+from .order import before, same
 
+#: Thresholds stay that much below 1.
+EPSILON = 2.0**-52
 
 def over(a: Column, b: Column) -> Column:
     """a / b in double precision, 0 where b is 0."""
@@ -63,13 +65,10 @@ def by_score(df: DataFrame, by: tuple[str, ...] = (), label: str = "label", scor
 
 
 def _with_above(counts: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    counts = counts.withColumn("range", F.least(F.floor(F.col("score") * RANGES), F.lit(RANGES - 1)).cast("int"))
-    sums = counts.groupBy(*by, "range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    before = Window.partitionBy(*by).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*by, "range", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("bp"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("bn"))
-    within = Window.partitionBy(*by, "range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("wp", F.coalesce(F.sum("pos").over(within), F.lit(0))).withColumn("wn", F.coalesce(F.sum("neg").over(within), F.lit(0)))
-    return counts.join(sums, [*by, "range"]).select(*by, "score", "pos", "neg", (F.col("bp") + F.col("wp")).alias("above_pos"), (F.col("bn") + F.col("wn")).alias("above_neg"))
+    # ranges at quantiles of the distinct scores: the scores of rare positives crowd at one end
+    x = counts.withColumn("falling", -F.col("score"))
+    x = before(x, "falling", {"pos": F.sum("pos"), "neg": F.sum("neg")}, by)
+    return x.select(*by, (-F.col("falling")).alias("score"), "pos", "neg", F.col("pos_before").alias("above_pos"), F.col("neg_before").alias("above_neg"))
 
 
 def by_score_weighted(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -91,19 +90,21 @@ def _rank_metrics(s: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return s.groupBy(*by).agg(pos.alias("n_pos"), neg.alias("n_neg"), F.when((pos > 0) & (neg > 0), won / (pos * neg)).alias("roc_auc"), F.when(pos > 0, step / pos).alias("average_precision"))
 
 
-def partial_auc(df: DataFrame, limits: tuple[float, ...] = (1e-3, 1e-4), label: str = "label", score: str = "score") -> DataFrame:
-    """max_fpr, partial_auc: area up to a false positive rate, the last step interpolated, standardised so that chance is 1/2."""
-    s = by_score(df, (), label, score)
-    total = s.agg(F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("n"))
-    s = s.crossJoin(F.broadcast(total)).withColumn("limit", F.explode(F.array(*[F.lit(x) for x in limits])))
-    x0, x1 = F.col("above_neg") / F.col("n"), (F.col("above_neg") + F.col("neg")) / F.col("n")
-    y0, y1 = F.col("above_pos") / F.col("p"), (F.col("above_pos") + F.col("pos")) / F.col("p")
+def partial_auc(df: DataFrame, limits: tuple[float, ...] = (1e-3, 1e-4), label: str = "label", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
+    """by, max_fpr, partial_auc (null without both classes): area up to a false positive rate, the last step interpolated, standardised so that chance is 1/2."""
+    s = by_score(df, by, label, score)
+    total = s.groupBy(*by).agg(F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("n"))
+    s = same(s, total, by) if by else s.crossJoin(F.broadcast(total))
+    s = s.withColumn("limit", F.explode(F.array(*[F.lit(x) for x in limits])))
+    p, n = F.nullif(F.col("p"), F.lit(0.0)), F.nullif(F.col("n"), F.lit(0.0))
+    x0, x1 = F.col("above_neg") / n, (F.col("above_neg") + F.col("neg")) / n
+    y0, y1 = F.col("above_pos") / p, (F.col("above_pos") + F.col("pos")) / p
     end = F.least(x1, F.col("limit"))
     y_end = F.when(x1 > x0, y0 + (y1 - y0) * (end - x0) / (x1 - x0)).otherwise(y1)
-    area = F.when(x0 < F.col("limit"), (end - x0) * (y0 + y_end) / 2).otherwise(F.lit(0.0))
+    area = F.when(n.isNotNull() & p.isNotNull(), F.when(x0 < F.col("limit"), (end - x0) * (y0 + y_end) / 2).otherwise(F.lit(0.0)))
     low = F.col("limit") * F.col("limit") / 2
-    out = s.groupBy("limit").agg(F.sum(area).alias("area"))
-    return out.select(F.col("limit").alias("max_fpr"), ((1 + (F.col("area") - low) / (F.col("limit") - low)) / 2).alias("partial_auc"))
+    out = s.groupBy(*by, "limit").agg(F.sum(area).alias("area"))
+    return out.select(*by, F.col("limit").alias("max_fpr"), ((1 + (F.col("area") - low) / (F.col("limit") - low)) / 2).alias("partial_auc"))
 
 
 def bin_of(score: Column, bins: int) -> Column:
@@ -125,31 +126,68 @@ def calibration(df: DataFrame, bins: int = 15, label: str = "label", score: str
 
 
 def candidates(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """threshold, tp, fp, tn, fn at every distinct score, and a point above all scores that alerts nothing."""
+    """threshold, tp, fp, tn, fn at every distinct score above 0, and where no score is 1 a threshold that alerts nothing.
+
+    Thresholds lie strictly between 0 and 1.
+    """
     s = by_score(df, (), label, score)
     total = s.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.max("score").alias("top"))
-    at = s.crossJoin(F.broadcast(total)).select(
-        F.col("score").alias("threshold"),
+    at = s.where("score > 0").crossJoin(F.broadcast(total)).select(
+        F.least(F.col("score"), F.lit(1.0 - EPSILON)).alias("threshold"),
         (F.col("above_pos") + F.col("pos")).alias("tp"),
         (F.col("above_neg") + F.col("neg")).alias("fp"),
         (F.col("n") - F.col("above_neg") - F.col("neg")).alias("tn"),
         (F.col("p") - F.col("above_pos") - F.col("pos")).alias("fn"),
     )
-    none = total.select((F.greatest(F.col("top"), F.lit(1.0)) + 1e-6).alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), F.col("n").alias("tn"), F.col("p").alias("fn"))
+    zero = F.lit(0).cast("long")
+    none = total.where("top < 1").select((F.col("top") + F.pow(F.lit(2.0), F.floor(F.log2(F.greatest("top", F.lit(1e-300)))) - 52)).alias("threshold"), zero.alias("tp"), zero.alias("fp"), F.col("n").alias("tn"), F.col("p").alias("fn"))
     return at.unionByName(none)
 
 
-#: Threshold policies: objective and the largest false positive rate.
-POLICIES = {"f1": ("f1", None), "f2": ("f2", None), "f2_fpr_1e-2": ("f2", 1e-2), "recall_fpr_1e-3": ("recall", 1e-3), "balanced": ("balanced_accuracy", None)}
+#: Threshold policies: objective (or a fixed threshold) and the largest false positive rate.
+POLICIES = {"fixed_0_5": (0.5, None), "max_f1": ("f1", None), "max_f2": ("f2", None), "fpr_lte_0_001": ("f2", 1e-3), "fpr_lte_0_0001": ("f2", 1e-4)}
+#: Of a development fold, which gives no threshold to be deployed.
+DEVELOPMENT = {"development_f2_at_fpr": ("f2", 1e-3)}
+
 
+def best_thresholds(points: DataFrame, policies: dict[str, tuple[str | float, float | None]] = POLICIES) -> DataFrame:
+    """policy, threshold, tp, fp, tn, fn: the highest objective within the limit; ties to the lower FPR, higher recall, higher threshold.
 
-def best_thresholds(points: DataFrame, policies: dict[str, tuple[str, float | None]] = POLICIES) -> DataFrame:
-    """policy, threshold, tp, fp, tn, fn: the highest objective within the limit; ties to the lower FPR, higher recall, higher threshold."""
+    A fixed threshold has the counts of the lowest candidate that is not below it; without one, it alerts nothing.
+    """
     r = rates(points)
-    each = []
+    each, counts = [], ("tp", "fp", "tn", "fn")
     for name, (objective, limit) in policies.items():
-        key = F.struct(F.round(objective, 12).alias("objective"), (-F.col("fpr")).alias("nfpr"), F.col("recall"), F.col("threshold"), "tp", "fp", "tn", "fn")
-        ok = F.lit(True) if limit is None else F.col("fpr") <= limit
+        if isinstance(objective, float):
+            each.append(F.min(F.when(F.col("threshold") >= objective, F.struct(F.col("threshold").alias("at"), F.lit(objective).alias("threshold"), *counts))).alias(name))
+            continue
+        key = F.struct(F.round(objective, 12).alias("objective"), (-F.col("fpr")).alias("nfpr"), F.col("recall"), F.col("threshold"), *counts)
+        ok = F.lit(True) if limit is None else F.col("fpr") <= limit + 1e-15
         each.append(F.max(F.when(ok, key)).alias(name))
-    row = r.agg(*each)
-    return row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("policy"), *[F.col(f"`{n}`")[c].alias(c) for c in ("threshold", "tp", "fp", "tn", "fn")]) for n in policies])))
+    row = r.agg(*each, F.max(F.struct((F.col("tp") + F.col("fn")).alias("p"), (F.col("fp") + F.col("tn")).alias("n"))).alias("all"))
+    out = []
+    for name, (objective, _) in policies.items():
+        found = [F.col(f"`{name}`")[c].alias(c) for c in ("threshold", *counts)]
+        if isinstance(objective, float):
+            zero = F.lit(0).cast("long")
+            none = {"threshold": F.lit(objective), "tp": zero, "fp": zero, "tn": F.col("all.n"), "fn": F.col("all.p")}
+            found = [F.coalesce(x, none[c]).alias(c) for x, c in zip(found, none, strict=True)]
+        out.append(F.struct(F.lit(name).alias("policy"), *found))
+    return row.select(F.inline(F.array(*out))).where("threshold is not null")
+
+
+def report(df: DataFrame, threshold: float, by: tuple[str, ...] = (), bins: int = 15, label: str = "label", score: str = "score") -> DataFrame:
+    """The whole report at one threshold, a row a group: counts and rates, n_rows, calibration, rank metrics, partial areas.
+
+    Rank metrics are null where a group has one class only.
+    """
+    x = df.select(*by, F.col(label).alias("label"), F.col(score).alias("score"))
+    base = rates(confusion(x, threshold, by)).withColumn("n_rows", F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))
+    cells = x.groupBy(*by, bin_of(F.col("score"), bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("p"), F.avg(F.col("label").cast("double")).alias("y"), F.sum((F.col("score") - F.col("label")) * (F.col("score") - F.col("label"))).alias("q"))
+    fit = cells.groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("p") - F.col("y"))) / F.sum("n")).alias("ece"), (F.sum("q") / F.sum("n")).alias("brier"))
+    ranks = rank_metrics(x, by).withColumn("average_precision", F.when(F.col("n_neg") > 0, F.col("average_precision"))).drop("n_pos", "n_neg")
+    areas = partial_auc(x, (1e-3, 1e-4), by=by).groupBy(*by).agg(*[F.max(F.when(F.col("max_fpr") == v, F.col("partial_auc"))).alias(n) for n, v in (("partial_auc_0_001", 1e-3), ("partial_auc_0_0001", 1e-4))])
+    out = base
+    for part in (fit, ranks, areas):
+        out = same(out, part, by) if by else out.crossJoin(F.broadcast(part))
+    return out.withColumn("threshold", F.lit(float(threshold)))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .order import quantiles, same
+
 SIGMA, MARGIN, OOD_Z, OOD_SHARE = 2.0, 0.02, 8.0, 0.10
 
 
@@ -19,24 +23,29 @@ def outcome(threshold: float, label: str = "label", score: str = "score") -> Col
 def stratified(df: DataFrame, key: str, strata: tuple[str, ...], size: int, seed: str) -> DataFrame:
     """size rows: of each stratum its proportional share (half-even rounding, one at least) in hash order, then filled up or cut in hash order.
 
-    The fill-up orders at most the rows that strata offered or lacked: top-k, not a global sort.
+    Strata are small tables of their own: they are broadcast where Spark finds them small.
     """
     order = hash_order(f"{seed}:", F.col(key).cast("string"))
     n = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("in_stratum"))
     total = df.agg(F.count(F.lit(1)).alias("all_rows"))
     quota = n.crossJoin(F.broadcast(total)).withColumn("quota", F.greatest(F.lit(1), F.bround(F.col("in_stratum") * F.lit(float(size)) / F.col("all_rows")).cast("int")))
-    ranked = df.join(F.broadcast(quota), list(strata)).withColumn("digest", order)
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*strata).orderBy("digest", key)))
+    ranked = same(df, quota, strata).withColumn("digest", order)
+    # of no stratum more than size rows can be chosen: tasks drop the others before they meet
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*strata).orderBy("digest", key))).where(F.col("rank") <= size)
     first = F.when(F.col("rank") <= F.col("quota"), 0).otherwise(1)
     return ranked.orderBy(first, "digest", key).limit(size).drop("in_stratum", "all_rows", "quota", "rank", "digest")
 
 
 def handoff(df: DataFrame, key: str, threshold: float, quota: int, size: int, seed: str) -> DataFrame:
     """size rows: quota of each outcome in hash order, then the nearest to the threshold."""
-    x = df.withColumn("outcome", outcome(threshold)).withColumn("digest", hash_order(f"{seed}:", F.col(key).cast("string")))
-    x = x.withColumn("rank", F.row_number().over(Window.partitionBy("outcome").orderBy("digest", key)))
-    chosen = F.when(F.col("rank") <= quota, 0).otherwise(1)
-    return x.orderBy(chosen, F.when(chosen == 1, F.round(F.abs(F.col("score") - threshold), 12)), "digest", key).limit(size).select(key, "label", "score", "outcome")
+    x = df.select(key, "label", "score", outcome(threshold).alias("outcome"), hash_order(f"{seed}:", F.col(key).cast("string")).alias("digest"))
+    first = x.withColumn("rank", F.row_number().over(Window.partitionBy("outcome").orderBy("digest", key))).where(F.col("rank") <= quota).drop("rank")
+    gap = F.round(F.abs(F.col("score") - threshold), 12)
+    # four outcomes: the nearest ones beyond those that may be chosen already
+    near = x.orderBy(gap, "digest", key).limit(size + 4 * quota)
+    both = first.withColumn("rest", F.lit(0)).unionByName(near.withColumn("rest", F.lit(1)))
+    once = both.groupBy(key, "label", "score", "outcome", "digest").agg(F.min("rest").alias("rest"))
+    return once.orderBy("rest", F.when(F.col("rest") == 1, gap), "digest", key).limit(size).select(key, "label", "score", "outcome")
 
 
 def hard_errors(df: DataFrame, key: str, threshold: float, k: int, seed: str) -> DataFrame:
@@ -47,21 +56,22 @@ def hard_errors(df: DataFrame, key: str, threshold: float, k: int, seed: str) ->
     return wrong.withColumn("rank", rank).where(F.col("rank") <= k).select("error_type", "rank", hash_order(f"{seed}:", F.col(key).cast("string")).alias("sample_hash"), "score")
 
 
-def local_cases(df: DataFrame, key: str, threshold: float, k: int) -> DataFrame:
-    """category, key: the first k of each category, a row once per category; each is a top-k."""
-    x = df.withColumn("outcome", outcome(threshold)).withColumn("gap", F.round(F.abs(F.col("score") - threshold), 12))
-    categories = {
-        "confident_tp": (F.col("outcome") == "TP", F.desc("score")),
-        "confident_tn": (F.col("outcome") == "TN", F.asc("score")),
-        "worst_fp": (F.col("outcome") == "FP", F.desc("score")),
-        "worst_fn": (F.col("outcome") == "FN", F.asc("score")),
-        "borderline": (F.lit(True), F.asc("gap")),
-    }
-    out = None
-    for name, (mask, order) in categories.items():
-        part = x.where(mask).orderBy(order, key).limit(k).select(F.lit(name).alias("category"), key)
-        out = part if out is None else out.unionByName(part)
-    return out
+def local_cases(df: DataFrame, key: str, threshold: float, k: int, abstained: str | None = None) -> DataFrame:
+    """The keys of cases to explain, each once: the first k of each category, ties by key.
+
+    Categories: the four outcomes, scores among the tenth farthest from and nearest to the threshold, and abstained rows;
+    false positives and far ones from the highest score down, all others from the lowest up. Each is a top-k.
+    """
+    gap = F.round(F.abs(F.col("score") - threshold), 12)
+    x = df.withColumn("outcome", outcome(threshold)).withColumn("gap", gap)
+    edge = quantiles(x, "gap", (0.1, 0.9), (), "edge").select(F.round(F.col("edge")[0], 12).alias("near"), F.round(F.col("edge")[1], 12).alias("far"))
+    x = x.crossJoin(F.broadcast(edge))
+    up, down = F.asc("score"), F.desc("score")
+    categories = [(F.col("outcome") == "TP", up), (F.col("outcome") == "TN", up), (F.col("outcome") == "FP", down), (F.col("outcome") == "FN", up), (F.col("gap") >= F.col("far"), down), (F.col("gap") <= F.col("near"), up)]
+    if abstained:
+        categories.append((F.col(abstained), up))
+    parts = [x.where(mask).orderBy(order, key).limit(k).select(key) for mask, order in categories]
+    return functools.reduce(DataFrame.unionByName, parts).distinct()
 
 
 def worst_case(df: DataFrame, case: str, label: str, score: str, name: str) -> DataFrame:
@@ -112,19 +122,53 @@ def decide(score: Column, threshold: float, ood: Column, unhealthy: Column) -> C
     return F.struct(F.when(F.size(reasons) > 0, "uncertain/abstain").when(score >= threshold, "malicious").otherwise("benign").alias("outcome"), F.array_join(reasons, ";").alias("reasons"))
 
 
-def robustness(variants: DataFrame, baseline: DataFrame, key: str, by: str, threshold: float) -> DataFrame:
-    """by, n, success_rate, mean_drop, max_drop, p95_drop, fp_increase: variants against the clean rows of their key (left join)."""
-    x = variants.join(baseline.select(key, F.col("score").alias("clean")), key, "left")
-    drop = F.col("clean") - F.col("score")
-    was, now = F.col("clean") >= threshold, F.col("score") >= threshold
-    return x.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.when((F.col("label") == 1) & was, (~now).cast("double"))).alias("success_rate"),
-        F.avg(drop).alias("mean_drop"),
-        F.max(drop).alias("max_drop"),
-        F.percentile(drop, F.lit(0.95)).alias("p95_drop"),
-        (F.avg(F.when(F.col("label") == 0, now.cast("double"))) - F.avg(F.when(F.col("label") == 0, was.cast("double")))).alias("fp_increase"),
+def robustness(scored: DataFrame, threshold: float, case: tuple[str, ...] = ("fixture", "label"), clean: str = "none") -> DataFrame:
+    """A row for each mutation but the clean one, of scored(*case, mutation, score, abstained, latency_ms, rss_bytes).
+
+    n_fixtures; attack_success_rate, mean_drop, max_drop: of positives, against the clean row of the case (an abstained one
+    is no success); clean_fpr, mutated_fpr, fpr_increase: of negatives; abstention_rate; mean_latency_ms, p95_latency_ms;
+    max_rss_bytes. Rates and drops without such rows are 0.
+    """
+    base = scored.where(F.col("mutation") == clean).select(*case, F.col("score").alias("clean"))
+    x = scored.where(F.col("mutation") != clean).join(base, list(case), "left")
+    positive = F.col("label") == 1
+    was, now = F.coalesce(F.col("clean") >= threshold, F.lit(False)), F.col("score") >= threshold
+    won = F.coalesce((F.col("clean") >= threshold) & (F.col("score") < threshold) & ~F.col("abstained"), F.lit(False))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    out = x.groupBy("mutation").agg(
+        F.count(F.lit(1)).alias("n_fixtures"),
+        zero(F.avg(F.when(positive, won.cast("double")))).alias("attack_success_rate"),
+        zero(F.avg(F.when(positive, F.col("clean") - F.col("score")))).alias("mean_drop"),
+        zero(F.max(F.when(positive, F.col("clean") - F.col("score")))).alias("max_drop"),
+        zero(F.avg(F.when(~positive, was.cast("double")))).alias("clean_fpr"),
+        zero(F.avg(F.when(~positive, now.cast("double")))).alias("mutated_fpr"),
+        F.avg(F.col("abstained").cast("double")).alias("abstention_rate"),
+        F.avg("latency_ms").alias("mean_latency_ms"),
+        F.max("rss_bytes").alias("max_rss_bytes"),
     )
+    late = quantiles(x, "latency_ms", (0.95,), ("mutation",)).select("mutation", F.col("quantiles")[0].alias("p95_latency_ms"))
+    return out.withColumn("fpr_increase", F.col("mutated_fpr") - F.col("clean_fpr")).join(late, "mutation", "left")
+
+
+def champion(board: DataFrame, paired_lower: float | None = None, limit: float = 1e-3) -> DataFrame:
+    """One row: bundle_key of the model that is selected on validation, the point winner's key and family, and the rationale.
+
+    board: a row a finalist (bundle_key, model_family, validation_f2, validation_fpr, validation_brier, validation_precision,
+    latency_ms). Eligible: no dummy, FPR within the limit. The point winner has the highest F2, then the lower FPR, lower
+    Brier score, higher precision, smaller key. A neural winner stays only where it beats the best tree: the lower bound of
+    the paired difference in F2 is above 0, its Brier score at most 0.005 above, its latency at most the larger of 5 times
+    and 5 ms more. No eligible row, or a neural winner without a tree, is no row.
+    """
+    ok = board.where((F.col("model_family") != "dummy") & (F.col("validation_fpr") <= limit + 1e-15))
+    names = ("bundle_key", "model_family", "validation_brier", "latency_ms")
+    point = F.min(F.struct((-F.col("validation_f2")).alias("a"), F.col("validation_fpr").alias("b"), F.col("validation_brier").alias("c"), (-F.col("validation_precision")).alias("d"), *names))
+    tree = F.min(F.when(F.col("model_family") == "tree", F.struct((-F.col("validation_f2")).alias("a"), *names)))
+    x = ok.agg(point.alias("p"), tree.alias("t")).where(F.col("p").isNotNull() & ((F.col("p.model_family") != "neural") | F.col("t").isNotNull()))
+    slow = F.col("p.latency_ms") > F.greatest(5.0 * F.col("t.latency_ms"), F.col("t.latency_ms") + 5.0)
+    beaten = (F.lit(paired_lower is None or paired_lower <= 0.0)) | (F.col("p.validation_brier") > F.col("t.validation_brier") + 0.005) | F.coalesce(slow, F.lit(False))
+    back = (F.col("p.model_family") == "neural") & beaten
+    why = F.when(back, "best tree: the neural winner misses a condition").when(F.col("p.model_family") == "neural", "neural winner supported by the paired interval").otherwise("highest F2 within the FPR limit")
+    return x.select(F.when(back, F.col("t.bundle_key")).otherwise(F.col("p.bundle_key")).alias("bundle_key"), F.col("p.bundle_key").alias("point_best"), F.col("p.model_family").alias("point_family"), why.alias("rationale"))
 
 
 def agreement(long: DataFrame, feature: str = "feature", method: str = "method", value: str = "importance", methods: tuple[str, ...] = ()) -> DataFrame:

@@ -10,6 +10,8 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .order import column_quantiles, quantiles
+
 Scorer = Callable[[Mapping[str, Column]], Column]
 
 
@@ -28,8 +30,7 @@ def given(features: tuple[str, ...]) -> dict[str, Column]:
 
 
 def medians(df: DataFrame, features: tuple[str, ...]) -> dict[str, float]:
-    row = df.agg(*[F.percentile(F.col(f).cast("double"), F.lit(0.5)).alias(f) for f in features]).first()
-    return {f: row[f] for f in features}
+    return {f: x and x[0] for f, x in column_quantiles(df, features, (0.5,)).items()}
 
 
 def unpivot(row: DataFrame, columns: dict[str, dict[str, str]], key: str) -> DataFrame:
@@ -58,7 +59,7 @@ def permutation_importance(df: DataFrame, score: Scorer, features: tuple[str, ..
 
 def effects(df: DataFrame, score: Scorer, feature: str, features: tuple[str, ...], bins: int = 10) -> DataFrame:
     """bin, lower, upper, n_rows, effect: accumulated local effects over quantile bins, centred by their rows."""
-    edges = df.agg(F.array_sort(F.array_distinct(F.percentile(F.col(feature).cast("double"), F.array(*[F.lit(i / bins) for i in range(bins + 1)])))).alias("edges"))
+    edges = quantiles(df, feature, tuple(i / bins for i in range(bins + 1)), (), "edges").select(F.array_sort(F.array_distinct("edges")).alias("edges"))
     x = df.crossJoin(F.broadcast(edges)).where("size(edges) > 2")
     inner = F.slice("edges", F.lit(2), F.size("edges") - 2)
     x = x.withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col(feature).cast("double"))))
@@ -75,11 +76,11 @@ def effects(df: DataFrame, score: Scorer, feature: str, features: tuple[str, ...
 def interactions(df: DataFrame, score: Scorer, pairs: tuple[tuple[str, str], ...], features: tuple[str, ...]) -> DataFrame:
     """left, right, mean_interaction, mean_absolute_interaction: second differences at the 0.9 quantiles."""
     names = sorted({f for p in pairs for f in p})
-    at = df.agg(*[F.percentile(F.col(f).cast("double"), F.lit(0.9)).alias(f"q_{f}") for f in names])
-    x, base = df.crossJoin(F.broadcast(at)), given(features)
+    at = column_quantiles(df, tuple(names), (0.9,))
+    x, base = df, given(features)
     cells = []
     for i, (a, b) in enumerate(pairs):
-        qa, qb = {a: F.col(f"q_{a}")}, {b: F.col(f"q_{b}")}
+        qa, qb = ({f: F.lit(at[f] and at[f][0]).cast("double")} for f in (a, b))
         s = score(base | qa | qb) - score(base | qa) - score(base | qb) + score(base)
         cells += [F.avg(s).alias(f"m{i}"), F.avg(F.abs(s)).alias(f"a{i}")]
     row = x.agg(*cells)

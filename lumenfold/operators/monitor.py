@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .curves import confusion, rates
-from .order import before
+from .order import before, long as unpivoted, quantiles, same
 
 MIN_ROWS = 100
 
@@ -30,6 +32,46 @@ def right_closed(c: Column, edges: tuple[float, ...], labels: tuple[str, ...]) -
     return F.when(c.isNotNull(), out).otherwise("nan")
 
 
+# Columns that the declared subgroups are of.
+ACTIVE = ("js_count", "javascript_count", "openaction_count", "action_count", "aa_count", "launch_count", "uri_count", "submitform_count")
+PARSER = ("parse_failure", "recovery_mode", "invalid_eof", "extraction_timeout", "file_too_large", "extraction_limit_reached")
+# End of fixed values.
+
+
+def declared_subgroups(df: DataFrame, key: str) -> tuple[DataFrame, dict[str, Column]]:
+    """(df, group type -> subgroup) of the declared types whose columns df has; quantile groups become columns of df.
+
+    source, time_window (5), file_size_decile (10), encryption, active_content, parser_status, obfuscation_level,
+    missingness_pattern. Quantile groups number as many as there are distinct values at most; ties in rank go by key.
+    """
+    out: dict[str, Column] = {}
+    known = lambda names: [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names if c in df.columns]
+    any_of = lambda parts: functools.reduce(Column.__add__, parts) > 0
+    if "source_id" in df.columns:
+        out["source"] = F.col("source_id").cast("string")
+    for column, q, prefix, name in (("first_seen_at", 5, "time", "time_window"), ("pdf_size", 10, "size", "file_size_decile")):
+        if column in df.columns:
+            actual = min(q, max(1, df.select(column).dropna().distinct().limit(q).count()))
+            if actual < 2:
+                out[name] = F.lit(f"{prefix}_constant")
+            else:
+                missing = df.where(F.col(column).isNull()).withColumn(f"{name}__", F.lit(None).cast("int"))
+                df = quantile_labels(df, column, (key,), actual, f"{name}__").unionByName(missing)
+                out[name] = F.coalesce(F.concat(F.lit(f"{prefix}_"), F.lpad(F.col(f"{name}__").cast("string"), 2, "0")), F.lit("nan"))
+    if "is_encrypted" in df.columns:
+        e = F.coalesce(F.col("is_encrypted").cast("double"), F.lit(-1.0))
+        out["encryption"] = F.when(e == 0, "not_encrypted").when(e == 1, "encrypted").when(e == -1, "unavailable").otherwise("invalid")
+    if parts := known(ACTIVE):
+        out["active_content"] = F.when(any_of(parts), "present").otherwise("absent")
+    if parts := known(PARSER):
+        out["parser_status"] = F.when(any_of(parts), "limited_or_failed").otherwise("nominal")
+    if "obfuscation_count" in df.columns:
+        out["obfuscation_level"] = right_closed(F.col("obfuscation_count").cast("double"), (0, 1, 5), ("none", "one", "two_to_five", "six_or_more"))
+    if "missing_feature_count" in df.columns:
+        out["missingness_pattern"] = right_closed(F.col("missing_feature_count").cast("double"), (0, 1), ("none", "one", "two_or_more"))
+    return df, out
+
+
 def subgroup_metrics(df: DataFrame, assignments: dict[str, Column], threshold: float, min_rows: int = MIN_ROWS) -> DataFrame:
     """group_type, subgroup, n_rows, counts and rates; each row is counted once for each kind of group, in one aggregation."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("group_type"), v.cast("string").alias("subgroup")) for k, v in assignments.items()])).alias("g")
@@ -45,8 +87,7 @@ def drift(df: DataFrame, is_reference: Column, features: tuple[str, ...], bins:
     """
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])).alias("x")
     long = df.select(is_reference.alias("reference"), each).select("reference", "x.feature", "x.value").where("value is not null and not isnan(value) and abs(value) <> double('infinity')")
-    cuts = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = long.where("reference").groupBy("feature").agg(F.array_sort(F.array_distinct(F.percentile("value", cuts))).alias("edges"))
+    edges = quantiles(long.where("reference"), "value", tuple(i / bins for i in range(bins + 1)), ("feature",), "edges").withColumn("edges", F.array_sort(F.array_distinct("edges")))
     # inner edges only: the outer bins are open; the last bin is closed, the others are closed on the left
     inner = edges.select("feature", F.expr("slice(edges, 2, greatest(size(edges) - 2, 0))").alias("inner"), F.size("edges").alias("k"))
     placed = long.join(F.broadcast(inner), "feature").withColumn("bin", F.size(F.filter("inner", lambda e: e <= F.col("value"))))
@@ -98,16 +139,15 @@ def histogram(df: DataFrame, value: str, by: str, bins: int = 40) -> DataFrame:
 
 
 def quartiles(df: DataFrame, value: str, by: str) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(by).agg(q.alias("q"), F.min(value).alias("low"), F.max(value).alias("high")).select(by, "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high")
+    q = quantiles(df, value, (0.25, 0.5, 0.75), (by,), "q")
+    return same(df.groupBy(by).agg(F.min(value).alias("low"), F.max(value).alias("high")), q, (by,)).select(by, "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high")
 
 
 def class_statistics(df: DataFrame, features: tuple[str, ...], label: str) -> DataFrame:
     """label, feature, mean, std (population), q05, q50, q95."""
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])).alias("x")
-    long = df.select(label, each).select(label, "x.feature", "x.value")
-    q = F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return long.groupBy(label, "feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), q.alias("q")).select(label, "feature", "mean", "std", F.col("q")[0].alias("q05"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q95"))
+    x = unpivoted(df, features, (label,))
+    q = quantiles(x, "value", (0.05, 0.5, 0.95), (label, "feature"), "q")
+    return same(x.groupBy(label, "feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")), q, (label, "feature")).select(label, "feature", "mean", "std", F.col("q")[0].alias("q05"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q95"))
 
 
 def nonzero_rates(df: DataFrame, fields: tuple[str, ...], label: str) -> DataFrame:
@@ -117,7 +157,7 @@ def nonzero_rates(df: DataFrame, fields: tuple[str, ...], label: str) -> DataFra
 
 def mutual_information(df: DataFrame, feature: str, label: str, bins: int = 10) -> DataFrame:
     """One row: information (nats) between label and the feature's quantile bins, an approximation of the continuous one."""
-    edges = df.agg(F.array_distinct(F.percentile(feature, F.array(*[F.lit(i / bins) for i in range(1, bins)]))).alias("e"))
+    edges = quantiles(df, feature, tuple(i / bins for i in range(1, bins)), (), "e").select(F.array_distinct("e").alias("e"))
     binned = df.crossJoin(F.broadcast(edges)).select(F.col(label).alias("y"), F.size(F.filter("e", lambda x: x < F.col(feature))).alias("b"))
     n = binned.groupBy("b", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
     n = n.select("n", F.sum("n").over(Window.partitionBy("b")).alias("nb"), F.sum("n").over(Window.partitionBy("y")).alias("ny"), F.sum("n").over(Window.partitionBy()).alias("t"))
@@ -131,7 +171,8 @@ def baseline(df: DataFrame, features: tuple[str, ...], label: str) -> DataFrame:
 
 
 def robust_reference(df: DataFrame, features: tuple[str, ...]) -> DataFrame:
-    """feature, median, mad: two aggregations with one row each."""
-    row = df.agg(*[F.percentile(F.col(f).cast("double"), F.lit(0.5)).alias(f"m_{f}") for f in features])
-    both = df.crossJoin(F.broadcast(row)).agg(*[F.first(f"m_{f}").alias(f"m_{f}") for f in features], *[F.percentile(F.abs(F.col(f).cast("double") - F.col(f"m_{f}")), F.lit(0.5)).alias(f"d_{f}") for f in features])
-    return both.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"m_{f}").alias("median"), F.col(f"d_{f}").alias("mad")) for f in features])))
+    """feature, median, mad: a row a feature."""
+    x = unpivoted(df, features)
+    middle = quantiles(x, "value", (0.5,), ("feature",)).select("feature", F.col("quantiles")[0].alias("median"))
+    off = x.join(F.broadcast(middle), "feature").select("feature", F.abs(F.col("value") - F.col("median")).alias("value"))
+    return middle.join(quantiles(off, "value", (0.5,), ("feature",)), "feature").select("feature", "median", F.col("quantiles")[0].alias("mad"))

@@ -19,7 +19,11 @@ def mark_duplicates(df: DataFrame, key: str, label: str, order: tuple[str, ...],
 
 
 def deduplicate(df: DataFrame, key: str, label: str, order: tuple[str, ...]) -> DataFrame:
-    return mark_duplicates(df, key, label, order).where("dedup_reason = ''").drop("dedup_reason")
+    """The rows that mark_duplicates leaves without a reason; keys are summed up before they meet, however often one occurs."""
+    rest = [c for c in df.columns if c not in order]
+    first = df.groupBy(F.col(key).alias("key__")).agg(F.min(label).alias("low__"), F.max(label).alias("high__"), F.min(F.struct(*order, *rest)).alias("row__"))
+    # a label of nulls only is no conflict
+    return first.where(F.col("low__").eqNullSafe(F.col("high__"))).select(*[F.col("row__")[c].alias(c) for c in df.columns])
 
 
 def dedup_statistics(df: DataFrame, key: str, label: str) -> DataFrame:
@@ -106,13 +110,16 @@ def boundaries(per_group: DataFrame, fractions: tuple[float, ...]) -> DataFrame:
     Groups of equal first time are one cohort; a boundary may stand after a cohort if the latest row before it is earlier
     than the earliest row after it (columns seen, last, n_rows).
     """
-    c = per_group.groupBy("seen").agg(F.max("last").alias("last"), F.sum("n_rows").alias("n_rows"))
-    ahead = Window.orderBy("seen").rowsBetween(Window.unboundedPreceding, 0)
-    behind = Window.orderBy("seen").rowsBetween(1, Window.unboundedFollowing)
-    c = c.select("seen", F.sum("n_rows").over(ahead).alias("upto"), F.max("last").over(ahead).alias("left_last"), F.min("seen").over(behind).alias("right_first"), F.sum("n_rows").over(Window.partitionBy()).alias("total"))
-    legal = c.where(F.col("left_last") < F.col("right_first")).withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
-    best = F.min(F.struct(F.abs(F.col("upto") - F.bround(F.col("total") * F.col("fraction"))).alias("distance"), F.col("seen").alias("boundary"), F.col("upto")))
-    return legal.groupBy("fraction").agg(best.alias("x")).select("fraction", "x.boundary", "x.upto")
+    first, last = F.struct(F.col("seen").alias("at"), F.lit(1).alias("starts"), F.lit(0).alias("ends"), "n_rows"), F.struct(F.col("last").alias("at"), F.lit(0).alias("starts"), F.lit(1).alias("ends"), F.lit(0).cast("long").alias("n_rows"))
+    events = per_group.withColumn("n_rows", F.col("n_rows").cast("long")).select(F.inline(F.array(first, last)))
+    x = before(events, "at", {"starts": F.sum("starts"), "ends": F.sum("ends"), "n": F.sum("n_rows")})
+    # before a cohort, as many groups have ended as have begun
+    legal = x.where("starts > 0 and starts_before > 0 and starts_before = ends_before").select(F.col("at").alias("next"), F.col("n_before").alias("upto"))
+    legal = legal.crossJoin(F.broadcast(x.agg(F.sum("n").alias("total")))).withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
+    best = F.min(F.struct(F.abs(F.col("upto") - F.bround(F.col("total") * F.col("fraction"))).alias("distance"), "next", "upto"))
+    chosen = legal.groupBy("fraction").agg(best.alias("x")).select("fraction", "x.next", "x.upto")
+    # a row a fraction
+    return per_group.crossJoin(F.broadcast(chosen)).where(F.col("seen") < F.col("next")).groupBy("fraction", "upto").agg(F.max("seen").alias("boundary")).select("fraction", "boundary", "upto")
 
 
 def spans(df: DataFrame, group: str = "group_id", time: str = "first_seen_at") -> DataFrame:

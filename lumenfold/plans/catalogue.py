@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import engineered, preprocess
 from ..operators import curves, evidence, monitor, quality, split
+from ..operators.order import quantiles
 from ..specs import BASE, BASE_NAMES, STATUS, Feature
 from . import engineered_sql
 from .views import DEDUP_SQL, FIRST, NUMBERS, PARTITION_SQL, SCORES_SQL, features, features_sql, scores, table, telemetry, telemetry_sql
@@ -497,8 +498,8 @@ def _(spark, d):
     return rounded(curves.reliability(scores(spark, d), 10).where("n_rows > 0").drop("low", "high"), ("mean_score", "observed"), 8)
 
 
-_POINTS = f"""{SCORES_SQL}, {_BY_SCORE}, C AS (SELECT score AS threshold, CAST(ap + pos AS BIGINT) AS tp, CAST(an + neg AS BIGINT) AS fp, CAST(n - an - neg AS BIGINT) AS tn, CAST(p - ap - pos AS BIGINT) AS fn FROM A
-  UNION ALL SELECT greatest(max(score), 1.0) + 1e-6, 0, 0, CAST(max(n) AS BIGINT), CAST(max(p) AS BIGINT) FROM A)"""
+_POINTS = f"""{SCORES_SQL}, {_BY_SCORE}, C AS (SELECT least(score, 1 - pow(2.0::DOUBLE, -52)) AS threshold, CAST(ap + pos AS BIGINT) AS tp, CAST(an + neg AS BIGINT) AS fp, CAST(n - an - neg AS BIGINT) AS tn, CAST(p - ap - pos AS BIGINT) AS fn FROM A WHERE score > 0
+  UNION ALL SELECT nextafter(max(score), 1.0::DOUBLE), 0, 0, CAST(max(n) AS BIGINT), CAST(max(p) AS BIGINT) FROM A HAVING max(score) < 1)"""
 
 
 @query("threshold_sweep", f"WITH {_POINTS} SELECT round(threshold, 8) AS threshold, tp, fp, tn, fn FROM C")
@@ -506,19 +507,53 @@ def _(spark, d):
     return rounded(curves.candidates(scores(spark, d)), ("threshold",), 8)
 
 
-def _policies_sql() -> str:
+def _policies_sql(policies) -> str:
     each = []
-    for name, (objective, limit) in curves.POLICIES.items():
-        where = f"WHERE {RATES_SQL['fpr']} <= {limit}" if limit is not None else ""
+    for name, (objective, limit) in policies.items():
+        if isinstance(objective, float):
+            # the reference counts scores, not candidates
+            each.append(f"(SELECT '{name}' AS policy, {objective}::DOUBLE AS threshold, {_CONFUSION.replace('0.5', str(objective))} FROM S)")
+            continue
+        where = f"WHERE {RATES_SQL['fpr']} <= {limit}::DOUBLE + 1e-15" if limit is not None else ""
         each.append(f"(SELECT '{name}' AS policy, round(threshold, 8) AS threshold, tp, fp, tn, fn FROM C {where} ORDER BY round({RATES_SQL[objective]}, 12) DESC, {RATES_SQL['fpr']}, {RATES_SQL['recall']} DESC, threshold DESC LIMIT 1)")
     return f"WITH {_POINTS} " + " UNION ALL ".join(each)
 
 
-@query("threshold_policies", _policies_sql())
+@query("threshold_policies", _policies_sql(curves.POLICIES))
 def _(spark, d):
     return rounded(curves.best_thresholds(curves.candidates(scores(spark, d))), ("threshold",), 8)
 
 
+@query("development_threshold", _policies_sql(curves.DEVELOPMENT))
+def _(spark, d):
+    return rounded(curves.best_thresholds(curves.candidates(scores(spark, d)), curves.DEVELOPMENT), ("threshold",), 8)
+
+
+def _report_sql(source: str, by: str) -> str:
+    """All of curves.report at 0.5 over rows (by, label, score) of a table expression."""
+    w = f"(PARTITION BY {by} ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    area = lambda lim, name: f"CASE WHEN p > 0 AND n > 0 THEN round((1 + (sum(CASE WHEN x0 < {lim} THEN (least(x1, {lim}) - x0) * (y0 + CASE WHEN x1 > x0 THEN y0 + (y1 - y0) * (least(x1, {lim}) - x0) / (x1 - x0) ELSE y1 END) / 2 ELSE 0 END) - {lim} * {lim} / 2) / ({lim} - {lim} * {lim} / 2)) / 2, 8) END AS {name}"
+    return f"""R0 AS ({source}), RC AS (SELECT {by}, {_CONFUSION} FROM R0 GROUP BY {by}),
+RB AS (SELECT {by}, least(floor(score * 15), 14) AS bin, count(*) AS n, avg(score) AS p, avg(label) AS y, sum((score - label) * (score - label)) AS q FROM R0 GROUP BY ALL),
+RF AS (SELECT {by}, round(sum(n * abs(p - y)) / sum(n), 8) AS ece, round(sum(q) / sum(n), 8) AS brier FROM RB GROUP BY {by}),
+RD AS (SELECT {by}, score, CAST(sum(label) AS DOUBLE) AS pos, CAST(sum(1 - label) AS DOUBLE) AS neg FROM R0 GROUP BY {by}, score),
+RA AS (SELECT *, coalesce(sum(pos) OVER {w}, 0) AS ap, coalesce(sum(neg) OVER {w}, 0) AS an, sum(pos) OVER (PARTITION BY {by}) AS p, sum(neg) OVER (PARTITION BY {by}) AS n FROM RD),
+RX AS (SELECT *, an / nullif(n, 0) AS x0, (an + neg) / nullif(n, 0) AS x1, ap / nullif(p, 0) AS y0, (ap + pos) / nullif(p, 0) AS y1 FROM RA),
+RK AS (SELECT {by}, CASE WHEN p > 0 AND n > 0 THEN round(sum(neg * (ap + pos / 2.0::DOUBLE)) / (p * n), 8) END AS roc_auc,
+  CASE WHEN p > 0 AND n > 0 THEN round(sum(pos * (ap + pos) / (ap + pos + an + neg)) / p, 8) END AS average_precision, {area('0.001::DOUBLE', 'partial_auc_0_001')}, {area('0.0001::DOUBLE', 'partial_auc_0_0001')} FROM RX GROUP BY {by}, p, n)
+SELECT {by}, 0.5::DOUBLE AS threshold, tp, fp, tn, fn, tp + fp + tn + fn AS n_rows, {_RATES}, ece, brier, roc_auc, average_precision, partial_auc_0_001, partial_auc_0_0001
+FROM RC JOIN RF USING ({by}) JOIN RK USING ({by})"""
+
+
+_REPORT = ("ece", "brier", "roc_auc", "average_precision", "partial_auc_0_001", "partial_auc_0_0001")
+
+
+@query("full_report", f"WITH {SCORES_SQL}, {_report_sql('SELECT user_id % 7 AS part, label, score FROM S', 'part')}")
+def _(spark, d):
+    x = scores(spark, d).withColumn("part", F.col("user_id") % 7)
+    return rounded(rounded(curves.report(x, 0.5, ("part",))), _REPORT, 8)
+
+
 @query("policy_by_source", f"WITH {SCORES_SQL}, Q(policy, t) AS (VALUES ('low', 0.2::DOUBLE), ('mid', 0.5::DOUBLE), ('high', 0.8::DOUBLE)) SELECT policy, event_type, count(*) FILTER (score >= t) AS n_alerts, count(*) AS n_rows FROM S, Q GROUP BY 1, 2")
 def _(spark, d):
     policies = spark.createDataFrame([("low", 0.2), ("mid", 0.5), ("high", 0.8)], "policy string, t double")
@@ -537,6 +572,26 @@ def _(spark, d):
     return rounded(monitor.subgroup_metrics(scores(spark, d), groups, 0.5))
 
 
+_ACTIVE_SUM = " + ".join(f"coalesce({c}, 0)" for c in monitor.ACTIVE)
+_DECLARED = f"""{features_sql()}, X AS (SELECT *, "Class" AS label, least(pdf_size / 2000.0::DOUBLE, 1) AS score, {' + '.join(f'CAST({n} IS NULL AS INTEGER)' for n in BASE_NAMES)} AS missing_feature_count,
+  row_number() OVER (ORDER BY first_seen_at, sample_id) AS rt, row_number() OVER (ORDER BY pdf_size, sample_id) AS rs, count(*) OVER () AS k FROM F),
+L AS (SELECT label, score, unnest([{{'t': 'source', 'g': source_id}}, {{'t': 'time_window', 'g': 'time_' || lpad(CAST(greatest(1, CAST(ceil((rt - 1) * 5 / (k - 1)::DOUBLE) AS INTEGER)) AS VARCHAR), 2, '0')}},
+  {{'t': 'file_size_decile', 'g': 'size_' || lpad(CAST(greatest(1, CAST(ceil((rs - 1) * 10 / (k - 1)::DOUBLE) AS INTEGER)) AS VARCHAR), 2, '0')}},
+  {{'t': 'encryption', 'g': CASE WHEN is_encrypted IS NULL THEN 'unavailable' WHEN is_encrypted = 0 THEN 'not_encrypted' WHEN is_encrypted = 1 THEN 'encrypted' ELSE 'invalid' END}},
+  {{'t': 'active_content', 'g': CASE WHEN {_ACTIVE_SUM} > 0 THEN 'present' ELSE 'absent' END}},
+  {{'t': 'obfuscation_level', 'g': CASE WHEN obfuscation_count IS NULL THEN 'nan' WHEN obfuscation_count <= 0 THEN 'none' WHEN obfuscation_count <= 1 THEN 'one' WHEN obfuscation_count <= 5 THEN 'two_to_five' ELSE 'six_or_more' END}},
+  {{'t': 'missingness_pattern', 'g': CASE WHEN missing_feature_count <= 0 THEN 'none' WHEN missing_feature_count <= 1 THEN 'one' ELSE 'two_or_more' END}}]) AS x FROM X),
+C AS (SELECT x.t AS group_type, x.g AS subgroup, {_CONFUSION} FROM L GROUP BY 1, 2)"""
+
+
+@query("declared_subgroups", f"WITH {_DECLARED} SELECT group_type, subgroup, tp, fp, tn, fn, tp + fp + tn + fn AS n_rows, {_RATES} FROM C WHERE tp + fp + tn + fn >= 100")
+def _(spark, d):
+    f = features(spark, d)
+    f = f.withColumns({"label": F.col("Class"), "score": F.least(F.col("pdf_size") / F.lit(2000.0), F.lit(1.0)), "missing_feature_count": sum((F.col(n).isNull().cast("int") for n in BASE_NAMES), F.lit(0))})
+    f, groups = monitor.declared_subgroups(f, "sample_id")
+    return rounded(monitor.subgroup_metrics(f, groups, 0.5))
+
+
 @query("qcut_labels", f"WITH {SCORES_SQL} SELECT event_id, CAST(greatest(1, ceil((rn - 1) * 10 / (n - 1)::DOUBLE)) AS INTEGER) AS decile FROM (SELECT event_id, row_number() OVER (ORDER BY value, event_id) AS rn, count(*) OVER () AS n FROM S)")
 def _(spark, d):
     return monitor.quantile_labels(scores(spark, d), "value", ("event_id",), 10, "decile").select("event_id", "decile")
@@ -667,14 +722,13 @@ def _(spark, d):
     return evidence.hard_errors(scores(spark, d), "event_id", 0.5, 50, "e")
 
 
-@query("local_cases", f"""WITH {SCORES_SQL}, X AS (SELECT *, {_OUTCOME} AS o, round(abs(score - 0.5), 12) AS gap FROM S)
-SELECT * FROM (SELECT 'confident_tp' AS category, event_id FROM X WHERE o = 'TP' ORDER BY score DESC, event_id LIMIT 5)
-UNION ALL SELECT * FROM (SELECT 'confident_tn', event_id FROM X WHERE o = 'TN' ORDER BY score, event_id LIMIT 5)
-UNION ALL SELECT * FROM (SELECT 'worst_fp', event_id FROM X WHERE o = 'FP' ORDER BY score DESC, event_id LIMIT 5)
-UNION ALL SELECT * FROM (SELECT 'worst_fn', event_id FROM X WHERE o = 'FN' ORDER BY score, event_id LIMIT 5)
-UNION ALL SELECT * FROM (SELECT 'borderline', event_id FROM X ORDER BY gap, event_id LIMIT 5)""")
+_CASES = [("o = 'TP'", "score"), ("o = 'TN'", "score"), ("o = 'FP'", "score DESC"), ("o = 'FN'", "score"), ("gap >= far", "score DESC"), ("gap <= near", "score"), ("abstained", "score")]
+
+
+@query("local_cases", f"""WITH {SCORES_SQL}, X AS (SELECT *, {_OUTCOME} AS o, round(abs(score - 0.5), 12) AS gap, value < 1 AS abstained FROM S),
+E AS (SELECT round(quantile_cont(gap, 0.1), 12) AS near, round(quantile_cont(gap, 0.9), 12) AS far FROM X) SELECT DISTINCT event_id FROM (""" + " UNION ALL ".join(f"(SELECT event_id FROM X, E WHERE {w} ORDER BY {o}, event_id LIMIT 5)" for w, o in _CASES) + ")")
 def _(spark, d):
-    return evidence.local_cases(scores(spark, d), "event_id", 0.5, 5)
+    return evidence.local_cases(scores(spark, d).withColumn("abstained", F.col("value") < 1), "event_id", 0.5, 5, "abstained")
 
 
 @query("worst_case", f"WITH {SCORES_SQL}, Y AS (SELECT *, row_number() OVER (PARTITION BY user_id, label ORDER BY CASE WHEN label = 1 THEN score ELSE -score END, event_id) AS rn FROM S) SELECT user_id, label, event_id, score FROM Y WHERE rn = 1")
@@ -696,11 +750,34 @@ SELECT vec_id, prototype, round(distance, 6) AS distance FROM D QUALIFY row_numb
 QUERIES["nearest_prototype"] = lambda spark, d, f=QUERIES["nearest_prototype"]: rounded(f(spark, d), ("distance",))
 
 
-@query("champion", f"WITH {SCORES_SQL}, C AS (SELECT event_type, count(*) AS n, avg(score) AS m, avg((score - label) * (score - label)) AS brier FROM S GROUP BY 1) SELECT event_type AS champion, n FROM C ORDER BY round(m, 6) DESC, round(brier, 6), event_type LIMIT 1")
+_BOARD = f"""{SCORES_SQL}, K AS (SELECT event_type, {_CONFUSION.replace('label = 1', 'user_id % 2 = 1').replace('label = 0', 'user_id % 2 = 0').replace('0.5', '0.3')}, avg((score - user_id % 2) * (score - user_id % 2)) AS brier, avg(value) / 50 AS latency FROM S GROUP BY 1),
+B AS (SELECT event_type AS bundle_key, CASE event_type WHEN 'click' THEN 'neural' WHEN 'error' THEN 'neural' WHEN 'purchase' THEN 'tree' WHEN 'signup' THEN 'tree' ELSE 'dummy' END AS model_family,
+  round({_fb('4.0')}, 9) AS validation_f2, round({_div('fp', 'fp + tn')}, 9) AS validation_fpr, round(brier, 9) AS validation_brier, round({_div('tp', 'tp + fp')}, 9) AS validation_precision, round(latency, 9) AS latency_ms FROM K)"""
+
+
+def _champion_sql(lower: float) -> str:
+    return f"""WITH {_BOARD}, O AS (SELECT * FROM B WHERE model_family <> 'dummy' AND validation_fpr <= 0.9),
+P AS (SELECT * FROM O ORDER BY validation_f2 DESC, validation_fpr, validation_brier, validation_precision DESC, bundle_key LIMIT 1), T AS (SELECT * FROM O WHERE model_family = 'tree' ORDER BY validation_f2 DESC, bundle_key LIMIT 1),
+J AS (SELECT P.*, T.bundle_key AS tree_key, P.model_family = 'neural' AND ({lower}::DOUBLE <= 0 OR P.validation_brier > T.validation_brier + 0.005 OR P.latency_ms > greatest(5 * T.latency_ms, T.latency_ms + 5)) AS back FROM P, T)
+SELECT CASE WHEN back THEN tree_key ELSE bundle_key END AS bundle_key, bundle_key AS point_best, model_family AS point_family,
+  CASE WHEN back THEN 'best tree: the neural winner misses a condition' WHEN model_family = 'neural' THEN 'neural winner supported by the paired interval' ELSE 'highest F2 within the FPR limit' END AS rationale FROM J"""
+
+
+def _board(spark, d):
+    s = scores(spark, d).withColumn("label", (F.col("user_id") % 2).cast("int"))
+    x = curves.rates(curves.confusion(s, 0.3, ("event_type",))).join(s.groupBy("event_type").agg(F.avg((F.col("score") - F.col("label")) * (F.col("score") - F.col("label"))).alias("brier"), (F.avg("value") / 50).alias("latency")), "event_type")
+    kind = F.when(F.col("event_type").isin("click", "error"), "neural").when(F.col("event_type").isin("purchase", "signup"), "tree").otherwise("dummy")
+    return x.select(F.col("event_type").alias("bundle_key"), kind.alias("model_family"), *[F.round(a, 9).alias(b) for a, b in (("f2", "validation_f2"), ("fpr", "validation_fpr"), ("brier", "validation_brier"), ("precision", "validation_precision"), ("latency", "latency_ms"))])
+
+
+@query("champion", _champion_sql(0.01))
 def _(spark, d):
-    c = scores(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("m"), F.avg((F.col("score") - F.col("label")) * (F.col("score") - F.col("label"))).alias("b"))
-    best = F.min(F.struct((-F.round("m", 6)).alias("k1"), F.round("b", 6).alias("k2"), F.col("event_type").alias("champion"), "n"))
-    return c.agg(best.alias("x")).select("x.champion", "x.n")
+    return evidence.champion(_board(spark, d), 0.01, 0.9)
+
+
+@query("champion_without_evidence", _champion_sql(-0.01))
+def _(spark, d):
+    return evidence.champion(_board(spark, d), -0.01, 0.9)
 
 
 @query("recent_first", "SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id LIMIT 50")
@@ -746,13 +823,22 @@ def _(spark, d):
     return x.select("sample_id", evidence.ood_share(("o", "pdf_size"), {"o": (2.0, 0.1), "pdf_size": (800.0, 100.0)}).alias("ood"))
 
 
-@query("robustness_by_mutation", f"""WITH {SCORES_SQL}, B AS (SELECT user_id, avg(score) AS clean FROM S GROUP BY 1)
-SELECT event_type, count(*) AS n, round(avg(CASE WHEN label = 1 AND clean >= 0.2 THEN CAST(score < 0.2 AS DOUBLE) END), 6) AS success_rate, round(avg(clean - score), 6) AS mean_drop, round(max(clean - score), 6) AS max_drop, round(quantile_cont(clean - score, 0.95), 6) AS p95_drop,
-  round(avg(CASE WHEN label = 0 THEN CAST(score >= 0.2 AS DOUBLE) END) - avg(CASE WHEN label = 0 THEN CAST(clean >= 0.2 AS DOUBLE) END), 6) AS fp_increase FROM S LEFT JOIN B USING (user_id) GROUP BY 1""")
+_MUTATED = f"""{SCORES_SQL}, M AS (SELECT user_id AS fixture, CAST(user_id % 3 = 0 AS INTEGER) AS label, CASE WHEN event_type = 'click' THEN 'none' ELSE event_type END AS mutation,
+  round(avg(score), 9) AS score, min(value) < 20 AS abstained, round(avg(value), 9) AS latency_ms, CAST(count(*) AS BIGINT) * 1000 AS rss_bytes FROM S GROUP BY 1, 2, 3)"""
+
+
+@query("robustness_by_mutation", f"""WITH {_MUTATED}, J AS (SELECT m.*, c.score AS clean FROM M m LEFT JOIN M c ON c.mutation = 'none' AND c.fixture = m.fixture AND c.label = m.label WHERE m.mutation <> 'none'),
+G AS (SELECT mutation, count(*) AS n_fixtures, coalesce(avg(CAST(coalesce(clean >= 0.5 AND score < 0.5 AND NOT abstained, false) AS DOUBLE)) FILTER (label = 1), 0) AS attack_success_rate,
+  coalesce(avg(clean - score) FILTER (label = 1), 0) AS mean_drop, coalesce(max(clean - score) FILTER (label = 1), 0) AS max_drop,
+  coalesce(avg(CAST(coalesce(clean >= 0.5, false) AS DOUBLE)) FILTER (label = 0), 0) AS clean_fpr, coalesce(avg(CAST(score >= 0.5 AS DOUBLE)) FILTER (label = 0), 0) AS mutated_fpr,
+  avg(CAST(abstained AS DOUBLE)) AS abstention_rate, avg(latency_ms) AS mean_latency_ms, quantile_cont(latency_ms, 0.95) AS p95_latency_ms, max(rss_bytes) AS max_rss_bytes FROM J GROUP BY 1)
+SELECT mutation, n_fixtures, round(attack_success_rate, 6) AS attack_success_rate, round(mean_drop, 6) AS mean_drop, round(max_drop, 6) AS max_drop, round(clean_fpr, 6) AS clean_fpr, round(mutated_fpr, 6) AS mutated_fpr,
+  round(mutated_fpr - clean_fpr, 6) AS fpr_increase, round(abstention_rate, 6) AS abstention_rate, round(mean_latency_ms, 6) AS mean_latency_ms, round(p95_latency_ms, 6) AS p95_latency_ms, max_rss_bytes FROM G""")
 def _(spark, d):
-    s = scores(spark, d)
-    out = evidence.robustness(s, s.groupBy("user_id").agg(F.avg("score").alias("score")), "user_id", "event_type", 0.2)
-    return rounded(out, ("success_rate", "mean_drop", "max_drop", "p95_drop", "fp_increase"))
+    mutation = F.when(F.col("event_type") == "click", "none").otherwise(F.col("event_type"))
+    m = scores(spark, d).groupBy(F.col("user_id").alias("fixture"), (F.col("user_id") % 3 == 0).cast("int").alias("label"), mutation.alias("mutation")).agg(
+        F.round(F.avg("score"), 9).alias("score"), (F.min("value") < 20).alias("abstained"), F.round(F.avg("value"), 9).alias("latency_ms"), (F.count(F.lit(1)) * 1000).alias("rss_bytes"))
+    return rounded(evidence.robustness(m, 0.5), ("attack_success_rate", "mean_drop", "max_drop", "clean_fpr", "mutated_fpr", "fpr_increase", "abstention_rate", "mean_latency_ms", "p95_latency_ms"))
 
 
 @query("defense_views", f"WITH {SCORES_SQL}, L AS (SELECT event_type, label, 'raw' AS variant, score FROM S UNION ALL SELECT event_type, label, 'squared', score * score FROM S) SELECT event_type, variant, {_CONFUSION.replace('0.5', '0.25')} FROM L GROUP BY 1, 2")
@@ -763,14 +849,16 @@ def _(spark, d):
 
 @query("resource_overhead", "SELECT l_returnflag, round(avg(l_extendedprice), 6) AS mean, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95, max(l_extendedprice) AS high FROM lineitem GROUP BY 1")
 def _(spark, d):
-    x = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.avg("l_extendedprice").alias("mean"), F.percentile("l_extendedprice", F.lit(0.95)).alias("p95"), F.max("l_extendedprice").alias("high"))
-    return rounded(x, ("mean", "p95"))
+    x = table(spark, d, "lineitem")
+    late = quantiles(x, "l_extendedprice", (0.95,), ("l_returnflag",)).select("l_returnflag", F.col("quantiles")[0].alias("p95"))
+    return rounded(x.groupBy("l_returnflag").agg(F.avg("l_extendedprice").alias("mean"), F.max("l_extendedprice").alias("high")).join(late, "l_returnflag"), ("mean", "p95"))
 
 
 @query("latency_profile", "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS low, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS high, round(avg(value) / (SELECT avg(value) FROM events WHERE event_type = 'error') - 1, 6) AS relative FROM events GROUP BY 1")
 def _(spark, d):
     e = table(spark, d, "events")
-    x = e.groupBy("event_type").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("low"), F.percentile("value", F.lit(0.5)).alias("median"), F.percentile("value", F.lit(0.95)).alias("p95"), F.max("value").alias("high"))
+    x = e.groupBy("event_type").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("low"), F.max("value").alias("high"))
+    x = x.join(quantiles(e, "value", (0.5, 0.95), ("event_type",), "q").select("event_type", F.col("q")[0].alias("median"), F.col("q")[1].alias("p95")), "event_type")
     base = x.where("event_type = 'error'").select(F.col("mean").alias("b"))
     x = x.crossJoin(F.broadcast(base)).withColumn("relative", F.col("mean") / F.col("b") - 1).drop("b")
     return rounded(x, ("mean", "std", "median", "p95", "relative"))
