@@ -3,11 +3,12 @@
 Documents stay in the order of their input partition. Windows of at most LENGTH tokens are cut at document ends,
 sentence ends or, where none lies within LENGTH tokens, at a multiple of LENGTH. The cuts minimise padding plus
 penalties: f(j) = penalty(j) + LENGTH - pos(j) + min over i of f(i) + pos(i), with pos(j) - pos(i) <= LENGTH, a sliding
-minimum that a monotone queue gives in linear time. A window of exactly a power of two needs no padding; LENGTH itself is
-the one that the queue finds.
+minimum that a monotone queue gives in linear time. A window of exactly a power of two needs no padding, so a place that
+far back is looked up for each smaller power: f(j) = penalty(j) + f(i). Of equal costs, the queue's longer window is taken.
 
 Each task packs its own partition in steps of STEP tokens; the last window of a step is opened again in the next. There is
-no shuffle, and memory is bounded by a step and the longest document. A rerun of a task gives the same rows.
+no shuffle, and memory is bounded by a step and the longest document. A rerun of a task gives the same rows. A
+partition's last window may be padded, and sequence_id holds the partition's number, so both go with how the input is dealt.
 """
 
 from __future__ import annotations
@@ -89,13 +90,21 @@ def best_cuts(pos: list[int], penalty: list[int], length: int = LENGTH) -> list[
     n = len(pos)
     cost, back, key = [0] * n, [0] * n, [0] * n
     key[0] = pos[0]
+    powers = [1 << k for k in range(length.bit_length()) if 1 << k < length]
+    place = {p: i for i, p in enumerate(pos)}
+    find = place.get
     queue, head = [0], 0
     for j in range(1, n):
         p = pos[j]
         while p - pos[queue[head]] > length:
             head += 1
         i = queue[head]
-        cost[j] = c = key[i] - p + length + penalty[j]
+        c = key[i] - p + length
+        for w in powers:
+            o = find(p - w)
+            if o is not None and cost[o] < c:
+                c, i = cost[o], o
+        cost[j] = c = c + penalty[j]
         back[j] = i
         key[j] = k = c + p
         while len(queue) > head and key[queue[-1]] >= k:
