@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, topk
+from . import chat, licenses, minhash, mixing, rabitq, topk
 from .minhash import op10_minhash_near_dedup
 from .mixing import op4_mix_sources
 from .packing import op7_pack_sequences
@@ -29,7 +29,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": rabitq.SQL,
     "op2_exact_top_k": topk.SQL,
+    "op4_mix_sources": mixing.SQL,
     "op3_license_scan": licenses.SQL,
     "op9_chat_formatting": chat.SQL,
+    "op10_minhash_near_dedup": minhash.SQL,
 }

@@ -68,6 +68,19 @@ def test_blocks_of_an_open_group_miss_no_link(make_docs, monkeypatch):
     monkeypatch.setattr(minhash, "GROUP_BLOCK", 8)
     monkeypatch.setattr(minhash, "BAND_BLOCK", 6)
     test_near_copies_around_the_threshold(make_docs, monkeypatch)
+    monkeypatch.setattr(minhash, "GROUP_BLOCK", 4096)
+    monkeypatch.setattr(minhash, "GROUP_SHINGLES", 500)
+    test_near_copies_around_the_threshold(make_docs, monkeypatch)
+
+
+@pytest.mark.parametrize("limit", [1 << 28, 0])
+def test_intersections_match_sets(limit):
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 300, int(rng.integers(1, 200)))) for _ in range(40)]
+    row, column = np.repeat(np.arange(40), [len(x) for x in sets]), np.concatenate(sets)
+    shared = minhash.intersections(row, column, 40, limit)
+    for i in range(40):
+        assert shared(i, np.arange(40)).tolist() == [len(np.intersect1d(sets[i], x)) for x in sets]
 
 
 def test_one_document_of_each_group_stays(docs):
@@ -192,16 +205,20 @@ def test_tables_miss_hardly_a_pair_at_the_threshold(classes):
     assert (1 - (1 - np.arccos(rabitq.THRESHOLD) / np.pi) ** bits) ** tables <= 1e-6
 
 
-def test_estimates_are_unbiased_and_bounded():
+@pytest.mark.parametrize("dim", [64, 100])
+def test_estimates_are_unbiased_and_bounded(dim):
     rng = np.random.default_rng(5)
-    dim = 64
     a = rabitq.unit(rng.standard_normal((400, dim)))
     b = rabitq.unit(0.92 * a + np.sqrt(1 - 0.92**2) * rabitq.unit(rng.standard_normal((400, dim))))
     turn = rabitq.rotation(dim, 0)
     assert np.allclose(turn @ turn.T, np.eye(dim))
-    za, zb = a @ turn.T, b @ turn.T
-    factor = np.abs(za).sum(axis=1) / np.sqrt(dim)
-    estimate = (np.where(za >= 0, 1, -1) * zb).sum(axis=1) / np.sqrt(dim) / factor
-    error = estimate - (a * b).sum(axis=1)
-    assert abs(error.mean()) < 0.01
-    assert (np.abs(error) <= rabitq.EPS * np.sqrt((1 - factor**2) / factor**2 / (dim - 1))).all()
+    code, factor, _, _ = rabitq.encode(a)
+    _, _, planes, scale = rabitq.encode(b)
+    above = np.diagonal(rabitq.upper_bounds(dim, code, factor, planes, scale)) - (a * b).sum(axis=1)
+    room = (rabitq.EPS * np.sqrt((1 - factor**2) / (dim - 1)) + rabitq.ROUNDING / np.sqrt(12) * scale[:, 1]) / factor
+    assert (above >= 0).all() and abs((above - room).mean()) < 0.01
+    packed = rabitq._unpacked(rabitq._packed(a), dim)
+    for x, y in zip(packed, rabitq.encode(a), strict=True):
+        assert np.allclose(x, y, rtol=1e-6)
+    # most pairs that have nothing to do with each other are ruled out
+    assert (rabitq.upper_bounds(dim, code, factor, planes, scale) >= 0.9).mean() < 0.004

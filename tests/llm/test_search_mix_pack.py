@@ -1,4 +1,5 @@
 import collections
+import os
 import re
 import zlib
 
@@ -41,6 +42,13 @@ def test_top_products_match_brute_force(spark, monkeypatch, lengths):
     assert got == expected_top(rows)
 
 
+def test_blocks_hold_queries_of_about_as_many_buckets():
+    first, many, most = topk.blocks({7: 5, 6: 1, 5: 30, 2: 3, 0: 1}, 7, 10)
+    assert (first[7], first[6], first[5], first[2], first[0]) == (0, 0, 0, 4, 4)
+    assert many[7] == 4 and most == [7, 7, 7, 7, 4]
+    assert topk.blocks({}, 0) == ([0], [1], [0])
+
+
 def test_top_products_of_small_tables(spark):
     make = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert topk.top_products(make([])).collect() == []
@@ -70,9 +78,24 @@ def test_search_finds_k_others_of_a_step(copies):
     assert sorted(score, reverse=True) == best.tolist() and 0 not in ids[at]
 
 
-def test_huge_components_are_exact():
+def test_huge_components_are_exact(spark):
     q, v = np.array([[2.0**40, 1.0]]), np.array([[2.0**20, 3.0]])
-    assert topk.products(q, v)[0, 0] == float(2**60 + 3)
+    assert topk.products(q, v)[0] == 2**60 + 3 and float(2**60 + 3) != 2**60 + 3
+    # scores of 2**60 + 3, 2**60 + 5 and a tie, whose doubles are all the same, among others
+    x = 2.0**-8
+    rows = [(0, [2.0**40 * x, x]), (1, [2.0**20 * x, 3 * x]), (2, [2.0**20 * x, 5 * x]), (3, [2.0**20 * x, 3 * x]), (4, [x, x])]
+    rows += [(i, [-x, i * x]) for i in range(5, 30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_products(df).orderBy("rank").collect()]
+    assert got == [(0, 1, 2, 2**60 + 5), (0, 2, 1, 2**60 + 3), (0, 3, 3, 2**60 + 3), (0, 4, 4, 2**40 + 1), (0, 5, 29, 29 - 2**40)]
+
+
+def test_scores_beyond_a_long_are_ranked_exactly(spark):
+    x = 2.0**-8
+    rows = [(0, [2.0**50 * x, x]), (1, [2.0**40 * x, 3 * x]), (2, [2.0**40 * x, 7 * x]), (3, [-(2.0**40) * x, 0.0]), (4, [1e300, 0.0]), (5, [1.7e308, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_products(df).orderBy("rank").collect()]
+    assert got == [(0, 1, 4, 2**63 - 1), (0, 2, 2, 2**63 - 1), (0, 3, 1, 2**63 - 1), (0, 4, 3, -(2**63))]
 
 
 def expected_targets(sizes):
@@ -173,10 +196,14 @@ def test_ids_are_the_tokenizers():
         assert packing.encode(text).tolist() == [*t.encode(text, add_special_tokens=False).ids, 1]
 
 
+def padding(n, length):
+    return 0 if n & (n - 1) == 0 else length - n
+
+
 def brute_cost(pos, penalty, length):
     best = {0: 0}
     for j in range(1, len(pos)):
-        found = [best[i] + length - (pos[j] - pos[i]) + penalty[j] for i in range(j) if i in best and pos[j] - pos[i] <= length]
+        found = [best[i] + padding(pos[j] - pos[i], length) + penalty[j] for i in range(j) if i in best and pos[j] - pos[i] <= length]
         if found:
             best[j] = min(found)
     return best[len(pos) - 1]
@@ -191,7 +218,22 @@ def test_cuts_are_optimal():
         cuts = packing.best_cuts(points, penalty, 16)
         at = {p: i for i, p in enumerate(points)}
         assert cuts[0] == 0 and cuts[-1] == points[-1] and max(np.diff(cuts)) <= 16
-        assert sum(16 - (b - a) + penalty[at[b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)) == brute_cost(points, penalty, 16)
+        assert sum(padding(b - a, 16) + penalty[at[b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)) == brute_cost(points, penalty, 16)
+
+
+def test_windows_of_a_power_of_two_need_no_padding():
+    assert packing.best_cuts([0, 1024, 2000, 3072], [0, 0, 0, 0]) == [0, 1024, 3072]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_ids_of_real_texts_are_the_tokenizers():
+    import duckdb
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for (text,) in duckdb.sql("SELECT coalesce(text, '') FROM '/root/testdata/sf0.01/documents.parquet'").fetchall():
+        assert packing.encode(text).tolist() == [*t.encode(text, add_special_tokens=False).ids, 1]
 
 
 def test_padding_is_small_and_empty_tables_work(make_docs, empty):
@@ -199,5 +241,5 @@ def test_padding_is_small_and_empty_tables_work(make_docs, empty):
     rows = [(i, ". ".join(some_words(rng, 9) for _ in range(int(rng.integers(1, 40)))), "en", "a", 1) for i in range(400)]
     got = pieces(packing.pack(make_docs(rows).coalesce(1)))
     length = [sum(r["length"] for r in s) for s in got.values()]
-    assert sum(2048 - n for n in length[:-1]) / sum(length) < 0.03
+    assert sum(padding(n, 2048) for n in length[:-1]) / sum(length) < 0.03
     assert packing.pack(empty).collect() == []

@@ -28,21 +28,34 @@ def expected_removed(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot,hotter", [(4096, 1 << 16), (1, 1 << 16), (1, 1)])
-def test_removed_bytes_match_brute_force(docs, monkeypatch, hot, hotter):
-    monkeypatch.setattr(substrings, "HOT", hot)
-    monkeypatch.setattr(substrings, "HOTTER", hotter)
+@pytest.mark.parametrize("hot,shard", [(4096, 1 << 19), (4096, 300), (3, 300), (1, 1 << 19), (0, 1 << 19)])
+def test_removed_bytes_match_brute_force(docs, hot, shard):
+    """Hot anchors: from 3, 1 or 0 different pieces on; some parts then have that many different ones too."""
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    got = sorted((tuple(r) for r in substrings.removed(docs).collect()), key=repr)
+    got = sorted((tuple(r) for r in substrings.removed(docs, hot, shard).collect()), key=repr)
     assert got == expected_removed(rows)
     assert sum(r[2] for r in got) > 1000
 
 
-def test_small_shards_and_steps(docs, monkeypatch):
-    monkeypatch.setattr(substrings, "SHARD", 300)
-    monkeypatch.setattr(substrings, "STEP", 1000)
-    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    assert sorted((tuple(r) for r in substrings.removed(docs).collect()), key=repr) == expected_removed(rows)
+def test_passages_in_many_contexts(spark, make_docs):
+    """One passage of 260 bytes in 60 contexts, which begin and end alike in part: all levels of a hot anchor."""
+    rng = np.random.default_rng(8)
+    passage = some_words(rng, 100)[:260]
+    rows = [(i, some_words(rng, 40) + "shared start"[: i % 13] + passage + "x" * (i % 7) + some_words(rng, 40), "en", "a", 0) for i in range(60)]
+    rows += [(100 + i, passage[30:250] + str(i % 3), "en", "a", 0) for i in range(6)]
+    want = expected_removed([r[:2] for r in rows])
+    for hot in (4096, 20, 2):
+        assert sorted((tuple(r) for r in substrings.removed(make_docs(rows), hot).collect()), key=repr) == want
+
+
+def test_anchors_do_not_depend_on_steps(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [some_words(rng, int(n)).encode() for n in rng.integers(1, 900, 12)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    whole = substrings.anchors(data, offsets)
+    monkeypatch.setattr(substrings, "STEP", 700)
+    for one, other in zip(whole[:1], substrings.anchors(data, offsets)[:1], strict=True):
+        assert set(one.tolist()) == set(other.tolist())
 
 
 def test_texts_without_repeats(docs, empty):
@@ -117,6 +130,28 @@ def test_held_out_accuracy(spark, make_docs, module, column):
     assert len(right) > 50 and np.mean(right) > 0.95
 
 
+def test_samples_are_bounded(spark, make_docs):
+    """Ids that repeat give one row each, whatever their number; texts are taken whole up to a number of bytes."""
+    rows = [(i % 4, f"text {i}", "en", "a", 6) for i in range(4000)] + [(i, "long " * 50, "en", "a", 250) for i in range(10, 90)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in [*range(4), *range(10, 90)]], "doc_id long, quality int, toxic int")
+    docs = make_docs(rows)
+    assert labelled.sample(docs, labels, "toxic", 10).count() <= 20
+    got = labelled.sample(docs, labels, "toxic", 4000, 1000).collect()
+    for y in (0, 1):
+        assert 0 < sum(len(r["text"]) for r in got if r["y"] == y) <= 1000
+    # copies of one row are one example
+    again = make_docs(rows + [rows[0]] * 3000)
+    held = labelled.fit_in_one_task(labelled.sample(again, labels, "toxic"), toxicity.with_counterfactuals, lambda rows, y, part: len(rows))
+    import zlib
+
+    assert held == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in [*range(4), *range(10, 90)])
+
+
+def test_terms_in_capitals_are_terms():
+    texts = ["MÄNNER und Frauen", "m\u00e4nner", "JÜDISCH"]
+    assert all(len(x) for x in toxicity.counterfactuals(*_joined(texts)))
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_without_labels_every_score_is_the_same(spark, docs, empty, module):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -217,12 +252,16 @@ def test_dual_coordinate_descent_separates():
 def brute_licences(text, threshold=0.8):
     import re
 
-    t = text or ""
-    units = {*t.split("\n"), *re.split(r"\n[ \t\r]*\n", t), t}
+    t = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    sentences, paragraphs = re.split(r"[.!?][ \t\r\n]+", t), re.split(r"\n[ \t\r]*\n", t)
     grams = {n: set(licenses.bigrams(x)) for n, x in licenses.TEMPLATES.items()}
+    held = lambda x: any(m in x for m in licenses.marks({n: list(g) for n, g in grams.items()}, threshold))
+    units = {*t.split("\n"), *sentences, *paragraphs, t}
+    for parts, k, by in [(sentences, 2, ". "), *((paragraphs, k, "\n\n") for k in range(2, 7))]:
+        units |= {by.join(parts[i : i + k]) for i in range(len(parts) - k + 1) if held(parts[i]) and held(parts[i + k - 1])}
     hits, names, best = 0, set(), None
     for u in units:
-        w = re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), u))
+        w = re.findall("[a-z0-9]+", u)
         b = set(zip(w[:-1], w[1:], strict=True))
         b = {" ".join(x) for x in b}
         found = [(2 * len(a & b) / (len(a) + len(b)), n) for n, a in grams.items() if len(b) and 2 * len(a & b) / (len(a) + len(b)) >= threshold]
@@ -237,10 +276,14 @@ def brute_licences(text, threshold=0.8):
 def test_licence_scan(spark, docs, empty):
     mit = licenses.TEMPLATES["mit-permission"]
     texts = [None, "", "Licensed under the Apache License, Version 2.0.", "x y\nreleased UNDER the  mit license\nz", mit, "intro\n\n" + mit.replace(" ", "\n") + "\n \nend", mit[: len(mit) // 2], "Licensed under CC BY-NC 4.0. and more words here", "the license of the software", "Licensed under the Apache License, Version 2.0.\n" * 3]
+    bsd = licenses.TEMPLATES["bsd-3-clause"]
+    for stop in (" 1. Redis", " 2. Redis", " 3. Neither", " THIS SOFTWARE"):
+        bsd = bsd.replace(stop, "\n\n" + stop[1:])
+    texts += ["Some prose first. Released under the MIT License. And prose after it.", "A long text.\n\n" + bsd + "\n\nMore of the text.\n\nAnd more.", "prose " * 30 + bsd.replace("\n", " ")]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.lit("x") for c in ("hits", "units", "best", "dice")})
     got = {r["doc_id"]: (r["n_matches"], r["licenses"], r["best"], None if r["dice"] is None else round(r["dice"], 9)) for r in licenses.scan(df).collect()}
     assert got == {i: brute_licences(t) for i, t in enumerate(texts)}
-    assert got[3][1] == "mit" and got[5][1] == "mit-permission" and got[6][0] == 0
+    assert got[10][1] == "mit" and got[11][2] == "bsd-3-clause" and got[3][1] == "mit" and got[5][1] == "mit-permission" and got[6][0] == 0
     assert licenses.scan(empty).collect() == [] and licenses.scan(docs).count() == docs.count()
 
 
