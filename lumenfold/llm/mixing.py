@@ -73,7 +73,7 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), repeats: int = REPEATS) ->
     name = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
     alike = alike.withColumn("range", F.shiftright("key", 60 - RANGES_BITS)).withColumn("name", name)
     within = F.sequence(F.lit(1), F.least(F.col("alike") - F.col("run") * RUN, F.lit(RUN)).cast("int"))
-    rows = alike.repartition(spread(docs.sparkSession), "name", "range").withColumn("nth", F.explode(within))
+    rows = alike.repartition("name", "range").withColumn("nth", F.explode(within))
     rows = materialise(rows.select("doc_id", "source", "name", "size", "key", "range", *carried))
     parts = materialise(rows.groupBy("source", "name", "range").agg(F.sum("size").alias("sum")))
     share = materialise(targets(parts.groupBy("source").agg(F.sum("sum").alias("source_size"))).withColumn("name", name))

@@ -135,6 +135,28 @@ def test_mix_meets_targets(docs):
     assert sum(taken.values()) <= sum(sizes.values())
 
 
+def test_rows_that_are_alike_are_dealt_out(spark, make_docs, monkeypatch):
+    """A third of all rows without id and one row many times: the plain queue gives the same words, and texts stay whole."""
+    monkeypatch.setattr(mixing, "RUN", 4)
+    rows = [(i, f"text number {i} " + "w " * (i % 9), "en", ["a", "b", "c"][i % 3], 1) for i in range(60)]
+    rows += [(None, f"no id {i}", "en", "a", 1) for i in range(30)] + [(7, "the same row", "en", "b", 1)] * 30
+    docs = make_docs(rows)
+    got = mixing.mix(docs).collect()
+    assert collections.Counter((r["doc_id"], r["size"]) for r in got) == collections.Counter((r[0], len(r[1].split())) for r in rows)
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r[3]] += len(r[1].split())
+    taken = collections.Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - t) <= 12 for s, t in expected_targets(sizes).items())
+    out = mixing.mixed(docs).collect()
+    assert len(out) == sum(r["copies"] for r in got)
+    texts = collections.Counter((r["doc_id"], r["text"], r["source"]) for r in out)
+    assert set(texts) <= {(r[0], r[1], r[3]) for r in rows}
+    assert sum(n * len(t[1].split()) for t, n in texts.items()) == sum(r["taken"] for r in got)
+
+
 def test_mix_is_the_same_again_and_empty_tables_work(docs, empty):
     key = lambda df: sorted((r["doc_id"] or -1, r["size"], r["taken"]) for r in df.collect())
     assert key(mixing.mix(docs)) == key(mixing.mix(docs.repartition(7)))
