@@ -141,8 +141,9 @@ def negative_control(df: DataFrame, features: tuple[str, ...], key: str) -> Data
 
 
 def role_split(df: DataFrame, key: str, label: str, shares: tuple[tuple[str, float], ...] = (("train", 0.7), ("validation", 0.1), ("calibration", 0.1), ("test", 0.1)), seed: int = 42) -> DataFrame:
-    """df with role, by a hash within each class."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(label), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
+    """df with role, by 40 bits of a digest of seed, class and key."""
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(label).cast("string"), F.lit(":"), F.col(key).cast("string")), 256)
+    u = F.conv(F.substring(digest, 1, 10), 16, 10).cast("long") / float(1 << 40)
     bounds, total = [], 0.0
     for name, share in shares[:-1]:
         total += share

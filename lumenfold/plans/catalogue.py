@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -1004,25 +1005,58 @@ def _(spark, d):
     return a.groupBy("feature").agg(F.round(F.avg(F.abs("attribution")), 8).alias("importance"))
 
 
-@query("accumulated_effects")
+def _score_sql(q: str = "l_quantity", d: str = "l_discount", t: str = "l_tax") -> str:
+    return "(" + _SCORE.format(q=q, d=d, t=t) + ")"
+
+
+@query("accumulated_effects", f"""WITH E AS (SELECT list_sort(list_distinct(quantile_cont(l_quantity, [{', '.join(str(i / 10) for i in range(11))}]))) AS e FROM lineitem),
+X AS (SELECT len(list_filter(e[2:len(e) - 1], lambda z: z <= l_quantity)) AS bin, e, l_discount, l_tax FROM lineitem, E WHERE len(e) > 2),
+Y AS (SELECT bin, e[bin + 1] AS lower, e[bin + 2] AS upper, {_score_sql('e[bin + 2]')} - {_score_sql('e[bin + 1]')} AS d FROM X),
+Z AS (SELECT bin, lower, upper, avg(d) AS d, count(*) AS n_rows FROM Y GROUP BY 1, 2, 3), W AS (SELECT *, sum(d) OVER (ORDER BY bin) AS s FROM Z)
+SELECT CAST(bin AS INTEGER) AS bin, lower, upper, n_rows, round(s - sum(s * n_rows) OVER () / sum(n_rows) OVER (), 8) AS effect FROM W""")
 def _(spark, d):
     from ..operators.explain import effects
 
-    return effects(table(spark, d, "lineitem"), _scorer(), "l_quantity", _EXPLAINED)
+    return rounded(effects(table(spark, d, "lineitem"), _scorer(), "l_quantity", _EXPLAINED), ("effect",), 8)
+
+
+def _interaction_sql(a: str, b: str) -> str:
+    names = dict(zip("qdt", _EXPLAINED, strict=True))
+    at = {k: f"(SELECT quantile_cont({c}, 0.9) FROM lineitem)" for k, c in names.items() if c in (a, b)}
+    score = lambda *fixed: _score_sql(**{k: at[k] if c in fixed else c for k, c in names.items()})
+    x = f"{score(a, b)} - {score(a)} - {score(b)} + {score()}"
+    return f"SELECT '{a}' AS left, '{b}' AS right, round(avg({x}), 8) AS mean_interaction, round(avg(abs({x})), 8) AS mean_absolute_interaction FROM lineitem"
 
 
-@query("interaction_strength")
+_TOGETHER = (("l_quantity", "l_discount"), ("l_discount", "l_tax"))
+
+
+@query("interaction_strength", " UNION ALL ".join(_interaction_sql(a, b) for a, b in _TOGETHER))
 def _(spark, d):
     from ..operators.explain import interactions
 
-    return interactions(table(spark, d, "lineitem"), _scorer(), (("l_quantity", "l_discount"), ("l_discount", "l_tax")), _EXPLAINED)
+    return rounded(interactions(table(spark, d, "lineitem"), _scorer(), _TOGETHER, _EXPLAINED), ("mean_interaction", "mean_absolute_interaction"), 8)
+
+
+def _faithfulness_sql(top: tuple[str, ...], draws: int = 20, seed: int = 42) -> str:
+    names = dict(zip("qdt", _EXPLAINED, strict=True))
+    middle = {c: f"(SELECT quantile_cont({c}, 0.5) FROM lineitem)" for c in _EXPLAINED}
+    rng = random.Random(seed)
+    others = [rng.sample(list(_EXPLAINED), len(top)) for _ in range(draws)]
+    with_ = lambda fixed: _score_sql(**{k: middle[c] if c in fixed else c for k, c in names.items()})
+    deleted = lambda fs: f"avg(abs({with_(())} - {with_(fs)}))"
+    inserted = lambda fs: f"avg(abs({with_([c for c in _EXPLAINED if c not in fs])} - {with_(_EXPLAINED)}))"
+    mean = lambda f: "(" + " + ".join(f(o) for o in others) + f") / {draws}"
+    return f"""WITH X AS (SELECT {deleted(top)} AS td, {inserted(top)} AS ti, {mean(deleted)} AS rd, {mean(inserted)} AS ri FROM lineitem)
+SELECT round(td, 8) AS top_deletion, round(ti, 8) AS top_insertion, round(rd, 8) AS random_deletion, round(ri, 8) AS random_insertion, td > rd AND ti > ri AS passed FROM X"""
 
 
-@query("faithfulness")
+@query("faithfulness", _faithfulness_sql(("l_quantity",)))
 def _(spark, d):
     from ..operators.explain import faithfulness
 
-    return faithfulness(table(spark, d, "lineitem"), _scorer(), {"l_quantity": 3.0, "l_discount": 2.0, "l_tax": 1.0}, _EXPLAINED, 1)
+    out = faithfulness(table(spark, d, "lineitem"), _scorer(), {"l_quantity": 3.0, "l_discount": 2.0, "l_tax": 1.0}, _EXPLAINED, 1)
+    return rounded(out, ("top_deletion", "top_insertion", "random_deletion", "random_insertion"), 8)
 
 
 @query("permutation_importance")
@@ -1062,7 +1096,8 @@ def _(spark, d):
     return models.ablation(t, {"amount": ("l_quantity", "l_extendedprice"), "rate": ("l_discount", "l_tax")}, "k")
 
 
-@query("role_split", None)
+@query("role_split", f"""WITH {SCORES_SQL}, U AS (SELECT label, CAST('0x' || substr(sha256('42:' || label || ':' || event_id), 1, 10) AS BIGINT) / 1099511627776.0::DOUBLE AS u FROM S)
+SELECT label, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.7 + 0.1 THEN 'validation' WHEN u < 0.7 + 0.1 + 0.1 THEN 'calibration' ELSE 'test' END AS role, count(*) AS n_rows FROM U GROUP BY 1, 2""")
 def _(spark, d):
     from ..operators import models
 
