@@ -17,8 +17,9 @@ _POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.98101
 
 
 def weight(seed: int, replicate: Column, group: Column) -> Column:
-    """How often a group is drawn: Poisson with mean 1."""
-    u = F.pmod(F.xxhash64(F.lit(seed), replicate, group), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    """How often a group is drawn: Poisson with mean 1, from 40 bits of a digest that SQL engines have alike."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), replicate.cast("string"), group))
+    u = F.conv(F.substring(digest, 1, 10), 16, 10).cast("long") / F.lit(float(1 << 40))
     return sum(((u > F.lit(p)).cast("long") for p in _POISSON), F.lit(0))
 
 
