@@ -6,12 +6,16 @@ scored or shuffled more than once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .order import column_quantiles, quantiles
 
+#: Rows among which a permutation moves values.
+RANGE = 1 << 16
+
 Scorer = Callable[[Mapping[str, Column]], Column]
 
 
@@ -41,16 +45,18 @@ def unpivot(row: DataFrame, columns: dict[str, dict[str, str]], key: str) -> Dat
 def permutation_importance(df: DataFrame, score: Scorer, features: tuple[str, ...], key: str, label: str = "label", seed: int = 7) -> DataFrame:
     """feature, importance: the increase of the Brier score when a feature's values are dealt anew.
 
-    Values move within ranges of a hash of the key: each row takes the value of the next row of its range, in hash order,
-    so no global sort is needed.
+    Values move within ranges of a digest of the key: each row takes the value of the next row of its range, in the order of
+    digests, the last one that of the first. There are so many ranges that one holds about RANGE rows.
     """
+    bits = max(6, math.ceil(math.log2(max(1, df.count()) / RANGE)))
     out = None
     base = given(features)
     for f in features:
-        h = F.xxhash64(F.lit(seed), F.lit(f), F.col(key))
-        w = Window.partitionBy(F.pmod(h, F.lit(64))).orderBy(h, key)
-        whole = Window.partitionBy(F.pmod(h, F.lit(64)))
-        moved = df.withColumn("moved__", F.coalesce(F.lead(F.col(f).cast("double")).over(w), F.first(F.col(f).cast("double")).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.max(F.col(f).cast("double")).over(whole)))
+        digest = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(f), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
+        placed = df.withColumns({"digest__": digest, "value__": F.struct(F.col(f).cast("double").alias("v"))}).withColumn("range__", F.shiftright("digest__", 60 - bits))
+        w = Window.partitionBy("range__").orderBy("digest__", key)
+        first = F.first("value__").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        moved = placed.withColumn("moved__", F.coalesce(F.lead("value__").over(w), first)["v"])
         p, q = score(base), score(base | {f: F.col("moved__")})
         part = moved.agg(F.lit(f).alias("feature"), (F.avg((q - F.col(label)) ** 2) - F.avg((p - F.col(label)) ** 2)).alias("importance"))
         out = part if out is None else out.unionByName(part)

@@ -1078,12 +1078,21 @@ def _(spark, d):
     return rounded(out, ("top_deletion", "top_insertion", "random_deletion", "random_insertion"), 8)
 
 
-@query("permutation_importance")
+def _permutation_sql(feature: str, seed: int = 7) -> str:
+    names = dict(zip("qdt", _EXPLAINED, strict=True))
+    moved = _score_sql(**{k: "moved" if c == feature else c for k, c in names.items()})
+    return f"""SELECT '{feature}' AS feature, round(avg(({moved} - label) * ({moved} - label)) - avg(({_score_sql()} - label) * ({_score_sql()} - label)), 8) AS importance FROM (
+  SELECT *, coalesce(lead({feature}) OVER w, first_value({feature}) OVER w) AS moved FROM (SELECT *, CAST('0x' || substr(md5('{seed}|{feature}|' || k), 1, 15) AS BIGINT) AS digest FROM K)
+  WINDOW w AS (PARTITION BY digest >> 54 ORDER BY digest, k))"""
+
+
+@query("permutation_importance", f"""WITH K AS (SELECT *, CAST(l_returnflag = 'R' AS INTEGER) AS label, concat_ws('/', l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-%d'), l_partkey, l_suppkey, l_returnflag, CAST(l_quantity AS BIGINT), CAST(round(l_extendedprice * 100) AS BIGINT)) AS k FROM lineitem) """ + " UNION ALL ".join(_permutation_sql(f) for f in _EXPLAINED))
 def _(spark, d):
     from ..operators.explain import permutation_importance
 
-    x = table(spark, d, "lineitem").withColumn("label", (F.col("l_returnflag") == "R").cast("int")).withColumn("k", F.xxhash64(*FIRST, "l_orderkey", "l_linenumber"))
-    return permutation_importance(x, _scorer(), _EXPLAINED, "k")
+    key = F.concat_ws("/", "l_orderkey", "l_linenumber", F.date_format("l_shipdate", "yyyy-MM-dd"), "l_partkey", "l_suppkey", "l_returnflag", F.col("l_quantity").cast("long"), F.round(F.col("l_extendedprice") * 100).cast("long"))
+    x = table(spark, d, "lineitem").withColumn("label", (F.col("l_returnflag") == "R").cast("int")).withColumn("k", key)
+    return rounded(permutation_importance(x, _scorer(), _EXPLAINED, "k"), ("importance",), 8)
 
 
 @query("lr_scores")

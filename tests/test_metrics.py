@@ -149,6 +149,7 @@ def test_registered_bootstraps_draw_as_many_as_the_configuration(spark, monkeypa
     from lumenfold.plans import catalogue
 
     drawn = []
+    interval = spark.createDataFrame([("f1", 0.0, 0.0, 0.0)], "metric string, point double, lower_95 double, upper_95 double")
     for name in ("confusion_interval", "ranking_interval", "paired_difference"):
         kind = inspect.signature(getattr(uncertainty, name))
 
@@ -156,6 +157,7 @@ def test_registered_bootstraps_draw_as_many_as_the_configuration(spark, monkeypa
             given = kind.bind(*args, **named)
             given.apply_defaults()
             drawn.append(given.arguments["replicates"])
+            return interval
 
         monkeypatch.setattr(uncertainty, name, record)
     monkeypatch.setattr(catalogue, "scores", lambda s, d: s.createDataFrame([(0.5,)], "score double"))
