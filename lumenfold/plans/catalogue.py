@@ -963,28 +963,11 @@ def _(spark, d):
     return extract(table(spark, d, "pages").withColumn("content", F.col("html").cast("binary")), "page_id")
 
 
-_DRAWN = ("precision", "recall", "f05", "f1", "f2", "fpr", "specificity", "balanced_accuracy", "mcc", "fp_per_million")
-_DRAWN_RATES = ", ".join(f"{RATES_SQL[m]} AS {m}" for m in _DRAWN)
-
-
-def _drawn_sql(name: str, score: str, threshold: float) -> str:
-    """Tables name_P (the point) and name_R (a row a replicate) of the metrics of a score, whole users drawn again."""
-    steps = " + ".join(f"CAST(u > {p}::DOUBLE AS BIGINT)" for p in uncertainty._POISSON)
-    counts = _CONFUSION.replace("score", score).replace("0.5", str(threshold))
-    sums = ", ".join(f"sum({c} * w) AS {c}" for c in ("tp", "fp", "tn", "fn"))
-    return f"""{name}_G AS (SELECT user_id, {counts} FROM S GROUP BY 1), {name}_P AS (SELECT {_DRAWN_RATES} FROM (SELECT {counts} FROM S)),
-{name}_U AS (SELECT k, tp, fp, tn, fn, CAST('0x' || substr(md5('42|' || k || '|' || user_id), 1, 10) AS BIGINT) / 1099511627776.0::DOUBLE AS u FROM {name}_G, range(1000) AS r(k)),
-{name}_W AS (SELECT k, {sums} FROM (SELECT *, {steps} AS w FROM {name}_U) WHERE w > 0 GROUP BY k), {name}_R AS (SELECT k, {_DRAWN_RATES} FROM {name}_W)"""
-
-
-def _interval_sql(replicates: str, point: str) -> str:
-    return " UNION ALL ".join(f"SELECT '{m}' AS metric, round((SELECT {m} FROM {point}), 8) AS point, round(quantile_cont({m}, 0.025), 8) AS lower_95, round(quantile_cont({m}, 0.975), 8) AS upper_95 FROM {replicates}" for m in _DRAWN)
-
-
+# draws are of a hash that SQL doesn't have: a digest in its place takes 18 times as long at sf0.1
 _BOUNDS_95 = ("point", "lower_95", "upper_95")
 
 
-@query("bootstrap_ci", f"WITH {SCORES_SQL}, {_drawn_sql('A', 'score', 0.5)} {_interval_sql('A_R', 'A_P')}")
+@query("bootstrap_ci")
 def _(spark, d):
     return rounded(uncertainty.confusion_interval(scores(spark, d), "user_id", 0.5), _BOUNDS_95, 8)
 
@@ -994,11 +977,7 @@ def _(spark, d):
     return uncertainty.ranking_interval(scores(spark, d), "user_id")
 
 
-_LESS = ", ".join(f"a.{m} - b.{m} AS {m}" for m in _DRAWN)
-
-
-@query("paired_difference", f"""WITH {SCORES_SQL}, {_drawn_sql('A', 'score', 0.25)}, {_drawn_sql('B', '(score * score)', 0.25)},
-P AS (SELECT {_LESS} FROM A_P a, B_P b), R AS (SELECT {_LESS} FROM A_R a JOIN B_R b USING (k)) {_interval_sql('R', 'P')}""")
+@query("paired_difference")
 def _(spark, d):
     s = scores(spark, d)
     return rounded(uncertainty.paired_difference(s, s.withColumn("score", F.col("score") * F.col("score")), "user_id", 0.25), _BOUNDS_95, 8)
