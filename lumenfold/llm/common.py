@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,23 @@ CHUNK_BYTES = 1 << 18
 BATCH_ROWS = 1000
 # memory that a batch needed goes back to the system, not to a pool of the worker's
 pa.set_memory_pool(pa.system_memory_pool())
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+
+
+def give_back() -> None:
+    """What this process has freed goes back to the system."""
+    if _trim:
+        _trim(0)
+
+
+def tidy(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """step, such that a task's worker gives back at the end what it has freed; workers are kept through later stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        give_back()
+
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,14 +25,14 @@ Matches are judged on the input and never cross documents.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import discard, materialise, mix, powers, prefix_hash, spread, table, text_chunks, text_column
+from .common import discard, materialise, mix, powers, prefix_hash, spread, table, text_chunks, text_column, tidy
 from .suffixes import common_prefixes, suffix_array
 
 LENGTH = 200
@@ -219,13 +219,15 @@ def repeated_windows(pieces: list[bytes]) -> list[np.ndarray]:
     t[begin + length] = 1
     t = np.append(t, 0)
     data = np.append(data, np.uint8(0))
-    room = np.zeros(len(t), dtype=np.int64)
+    sa = suffix_array(t, 258)
+    del t
+    room = np.zeros(len(sa), dtype=np.int64)
     for b, n in zip(begin.tolist(), length.tolist(), strict=True):
         room[b : b + n] = np.arange(n, 0, -1)
-    sa = suffix_array(t, 258)
     same = np.flatnonzero(common_prefixes(data, sa, room, LENGTH) >= LENGTH)
-    hit = np.zeros(len(t), dtype=bool)
-    before = np.empty(len(t), dtype=np.int64)
+    del room
+    hit = np.zeros(len(sa), dtype=bool)
+    before = np.empty(len(sa), dtype=np.int64)
     before[sa[1:]] = sa[:-1]
     hit[same] = True
     hit[before[same]] = True
@@ -327,7 +329,7 @@ def _found(held: list[list]) -> pa.RecordBatch:
 
 def _sharded(pieces: DataFrame, shard: int) -> DataFrame:
     """(key, name, runs) of pieces(key, name, piece, n)."""
-    return pieces.repartition(spread(pieces.sparkSession), "key").sortWithinPartitions("key", "name").mapInArrow(lambda b: _shards(b, shard), _RUNS)
+    return pieces.repartition(spread(pieces.sparkSession), "key").sortWithinPartitions("key", "name").mapInArrow(tidy(lambda b: _shards(b, shard)), _RUNS)
 
 
 def _above(rows: DataFrame, key: str, name: str, hot: int) -> DataFrame:
@@ -352,17 +354,20 @@ def _covered(folded: DataFrame, hot: int, shard: int) -> DataFrame:
     few = _small(above)
     out = _sharded(folded.join(few, "anchor", "left_anti").select(*plain), shard).withColumnRenamed("key", "anchor")
     different = folded.where("many").join(few, "anchor").groupBy("anchor", "name").agg(F.sum("n").alias("n"), F.first("piece").alias("piece"))
-    parts = materialise(different.select("anchor", "name", "n", "piece").mapInArrow(_parts, _PART))
+    parts = materialise(different.select("anchor", "name", "n", "piece").mapInArrow(tidy(_parts), _PART))
     crowded = _above(parts, "key", "part", hot)
     found = _sharded(parts.join(_small(crowded), "key", "left_anti").select("key", F.col("part").alias("name"), "piece", "n"), shard)
     found = parts.drop("piece", "n").join(found.withColumnRenamed("name", "part"), ["key", "part"]).select("anchor", "name", _moved("runs", "at").alias("runs"))
-    windows = materialise(parts.join(_small(crowded), "key", "left_semi").mapInArrow(_windows, "anchor long, name binary, at long, window binary, n long"))
+    windows = materialise(parts.join(_small(crowded), "key", "left_semi").mapInArrow(tidy(_windows), "anchor long, name binary, at long, window binary, n long"))
     again = materialise(windows.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window"))
     single = windows.join(again, "window", "left_semi").select("anchor", "name", F.array(F.struct(F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end"))).alias("runs"))
     split = found.unionByName(single).groupBy("anchor", "name").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     return materialise(out.unionByName(split))
 
 
+_CUT = "cls binary, n_removed long, n_spans long, kept_sha256 string, kept binary"
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
@@ -385,17 +390,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["cls", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What _cut leaves, as characters. Decoded by the same worker: a step of its own would be a second worker for each task."""
+    for batch in _cut(batches):
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()], pa.string())], ["cls", "kept"])
+
+
 def _half(c: str) -> Column:
     """128 bits of a digest."""
     return F.substring(c, 1, 16)
 
 
-def repeats(docs: DataFrame, hot: int = HOT, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """(rows, cuts): rows(doc_id, cls, n_bytes) of docs(doc_id, text); cuts(cls, whole, n_removed, n_spans, kept_sha256, kept) of the classes that lose bytes, whole ones (texts that occur twice) without further values."""
+def repeats(docs: DataFrame, hot: int = HOT, shard: int = SHARD, cut: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = _cut, schema: str = _CUT) -> tuple[DataFrame, DataFrame]:
+    """(rows, cuts): rows(doc_id, cls, n_bytes) of docs(doc_id, text); cuts(cls, whole, and what else cut makes) of the classes that lose bytes, whole ones (texts that occur twice) without further values."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialise(docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("cls"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")))
     whole = materialise(rows.where(F.col("n_bytes") >= LENGTH).groupBy("cls").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("cls"))
-    found = docs.mapInArrow(_anchored, "cls binary, n_bytes long, anchors array<long>, firsts array<int>")
+    found = docs.mapInArrow(tidy(_anchored), "cls binary, n_bytes long, anchors array<long>, firsts array<int>")
     once = materialise(found.where("size(anchors) > 0").dropDuplicates(["cls"]))
     ends = F.concat(F.slice("firsts", 2, F.greatest(F.size("firsts") - 1, F.lit(0))), F.array((F.col("n_bytes") - LENGTH + 1).cast("int")))
     each = once.select("cls", F.explode(F.arrays_zip("anchors", "firsts", ends.alias("lasts"))).alias("x"))
@@ -407,14 +418,14 @@ def repeats(docs: DataFrame, hot: int = HOT, shard: int = SHARD) -> tuple[DataFr
     counted = each.join(counts.hint("merge"), "anchor")
     spots = materialise(counted.groupBy("half").agg(F.collect_list(F.struct("anchor", "ends", "n")).alias("spots")))
     discard(once, counts)
-    texts = docs.mapInArrow(_texts, "cls binary, half binary, text binary").dropDuplicates(["half"])
-    pieces = materialise(texts.join(spots, "half").select("cls", "text", "spots").mapInArrow(lambda b: _pieces(b, hot), _PIECE))
+    texts = docs.mapInArrow(tidy(_texts), "cls binary, half binary, text binary").dropDuplicates(["half"])
+    pieces = materialise(texts.join(spots, "half").select("cls", "text", "spots").mapInArrow(tidy(lambda b: _pieces(b, hot)), _PIECE))
     discard(spots)
     covered = _covered(pieces.where("piece is not null").select("anchor", "name", "piece", "n", "many"), hot, shard)
     runs = pieces.where("first is not null").select("cls", "anchor", "name", "first").join(covered, ["anchor", "name"])
     runs = runs.select("cls", _moved("runs", "first").alias("runs")).groupBy("cls").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     once = pieces.where("text is not null").select("cls", "text").join(runs, "cls").join(whole, "cls", "left_anti")
-    cuts = once.mapInArrow(_cut, "cls binary, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumn("whole", F.lit(False))
+    cuts = once.mapInArrow(tidy(cut), schema).withColumn("whole", F.lit(False))
     return rows, cuts.unionByName(whole.withColumn("whole", F.lit(True)), allowMissingColumns=True)
 
 
@@ -444,9 +455,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A cut inside a character drops its bytes. No row is dropped; a null text stays null.
     """
-    _, cuts = repeats(docs)
-    cuts = cuts.select(F.col("cls").alias("cut_cls"), F.when(F.col("whole"), F.lit(b"")).otherwise(F.col("kept")).alias("cut_text"))
-    cuts = materialise(cuts.mapInArrow(_decoded, "cut_cls binary, cut_text string"))
+    _, cuts = repeats(docs, cut=_cut_texts, schema="cls binary, kept string")
+    cuts = materialise(cuts.select(F.col("cls").alias("cut_cls"), F.when(F.col("whole"), F.lit("")).otherwise(F.col("kept")).alias("cut_text")))
     # texts that can't lose anything take no part in the join
     long = F.octet_length("text") >= LENGTH
     own = docs.where(long).withColumn("own_cls", F.unhex(F.sha2("text", 256))).join(cuts, F.col("own_cls") == F.col("cut_cls"), "left")
@@ -455,10 +465,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     return own.unionByName(docs.where(~F.coalesce(long, F.lit(False))))
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("cut_cls"), pa.array([x.decode("utf-8", "ignore") for x in batch.column("cut_text").to_pylist()], pa.string())], ["cut_cls", "cut_text"])
-
-
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(table(spark, sf_dir, "documents"))

@@ -147,10 +147,12 @@ def suffix_array(t: np.ndarray, kinds: int) -> np.ndarray:
     is_lms[lms] = True
     sa = induce(t, small, lms, kinds)
     ordered = sa[is_lms[sa]]
+    del sa, is_lms
     names = _named(t, lms, ordered)
     kinds_of_names = int(names.max()) + 1
     if kinds_of_names < len(lms):
         ordered = lms[suffix_array(names, kinds_of_names)]
+    del names
     return induce(t, small, ordered, kinds)
 
 

@@ -32,6 +32,35 @@ def test_stages_hand_on_their_decisions(spark, make_docs, tmp_path):
     assert again == collections.Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, here).collect())
 
 
+def python_steps(node):
+    """The most Python steps that one task of a plan runs, each in a worker of its own."""
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return python_steps(node.initialPlan())
+    children = node.children()
+    below = [python_steps(children.apply(i)) for i in range(children.size())]
+    if name == "Exchange":
+        return 0
+    return (max if name == "Union" else sum)(below or [0]) + (name == "MapInArrow")
+
+
+def test_a_task_of_substring_removal_has_one_python_worker(docs, monkeypatch):
+    """Workers are kept: where one task had two, they held an executor's memory through all later stages."""
+    plans = []
+    monkeypatch.setattr(substrings, "materialise", lambda df: plans.append(python_steps(df._jdf.queryExecution().executedPlan())) or common.materialise(df))
+    out = substrings.without_repeats(docs)
+    plans.append(python_steps(out._jdf.queryExecution().executedPlan()))
+    assert max(plans) == 1
+
+
+def test_workers_give_back_what_they_freed(monkeypatch):
+    seen = []
+    monkeypatch.setattr(common, "give_back", lambda: seen.append("back"))
+    for x in common.tidy(lambda batches: (seen.append(b) or b for b in batches))(iter([1, 2])):
+        assert seen[-1] == x
+    assert seen == [1, 2, "back"]
+
+
 def test_empty_corpus(spark, empty, tmp_path):
     empty.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
